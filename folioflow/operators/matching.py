@@ -1,0 +1,119 @@
+"""Spatial matching of agent tables with layout blocks, page by page.
+
+All joins have the page as equi-key, so they shuffle once on it and the residual conditions see one
+page's handful of boxes.  Order-dependent claims run as a fold inside one row per page.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+
+LEAST_OVERLAP, MARGIN = 0.35, 2.0
+PROTECTED = ("title", "section_header", "caption")
+
+
+def page_pairs(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every agent table with every block of its page; block columns get the prefix b_."""
+    b = blocks.select(*(F.col(c).alias(c if c == "page" else f"b_{c}") for c in blocks.columns))
+    return tables.join(b, "page")
+
+
+def best_match(tables: DataFrame, blocks: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
+    """page, id, k, ord, score: tables claim, in order k, the unused table block of largest overlap.
+
+    A table whose best remaining overlap is below ``least`` claims nothing (ord null) but reports it."""
+    pairs = page_pairs(tables, blocks.where("kind = 'table'")).withColumn("score", G.overlap(G.box(), G.box("b_"))).where("score > 0")
+    offers = pairs.groupBy("page", "id", "k").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("b_ord").alias("ord")))).alias("offers"))
+    turns = offers.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("k", "id", "offers"))).alias("turns"))
+    fold = F.expr(f"""
+        aggregate(turns, named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<struct<k:int,id:bigint,ord:int,score:double>>)),
+          (acc, t) -> transform(array(filter(t.offers, o -> not array_contains(acc.used, o.ord))), free ->
+            named_struct('used', if(size(free) > 0 and -free[0].s >= {least}D, array_append(acc.used, free[0].ord), acc.used),
+                         'out', array_append(acc.out, named_struct('k', t.k, 'id', t.id,
+                            'ord', if(size(free) > 0 and -free[0].s >= {least}D, free[0].ord, cast(null as int)),
+                            'score', if(size(free) > 0, -free[0].s, 0D)))))[0]).out""")
+    claimed = turns.select("page", F.explode(fold).alias("x")).select("page", "x.id", "x.ord", "x.score")
+    return tables.select("page", "id", "k").join(claimed, ["page", "id"], "left").select("page", "id", "k", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def direct_relations(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """page, id, ord, method: claims by overlap, then unclaimed table blocks whose centre the table holds, first table first."""
+    first = best_match(tables, blocks).where("ord is not null").select("page", "id", "ord", F.lit("bbox_overlap").alias("method"))
+    inside = page_pairs(tables, blocks.where("kind = 'table'")).where(G.contains_center(G.box(), G.box("b_"), MARGIN))
+    rest = inside.join(first.select("page", F.col("ord").alias("b_ord")), ["page", "b_ord"], "left_anti")
+    turn = Window.partitionBy("page", "b_ord").orderBy("k")
+    second = rest.withColumn("n", F.row_number().over(turn)).where("n = 1").select("page", "id", F.col("b_ord").alias("ord"), F.lit("bbox_contains_center").alias("method"))
+    return first.unionByName(second)
+
+
+def absorbed_blocks(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """page, ord, id: unprotected blocks whose centre is in a table's box, the first table in order k taking them."""
+    inside = page_pairs(tables, blocks.where(~F.col("kind").isin(*PROTECTED))).where(G.contains_center(G.box(), G.box("b_"), MARGIN))
+    turn = Window.partitionBy("page", "b_ord").orderBy("k")
+    return inside.withColumn("n", F.row_number().over(turn)).where("n = 1").select("page", F.col("b_ord").alias("ord"), "id")
+
+
+def captions(blocks: DataFrame, gap: float = 55.0) -> DataFrame:
+    """page, ord, caption: for each picture the nearest caption below it that shares some of its width."""
+    pictures, texts = blocks.where("kind = 'picture'"), blocks.where("kind = 'caption'")
+    c = texts.select("page", *(F.col(n).alias(f"c_{n}") for n in ("ord", "x0", "x1", "top")))
+    near = pictures.join(c, "page").where((F.col("c_top") >= F.col("bottom") - 2) & (F.col("c_top") - F.col("bottom") <= gap))
+    near = near.where(F.least("x1", "c_x1") > F.greatest("x0", "c_x0"))
+    turn = Window.partitionBy("page", "ord").orderBy(F.col("c_top") - F.col("bottom"), "c_ord")
+    found = near.withColumn("n", F.row_number().over(turn)).where("n = 1").select("page", "ord", F.col("c_ord").alias("caption"))
+    return pictures.select("page", "ord").join(found, ["page", "ord"], "left")
+
+
+def insertion_slots(tables: DataFrame, blocks: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
+    """page, id, k, slot: where a table goes in reading order.
+
+    The first absorbed block's order; else half a step after the nearest overlapping block above;
+    else half a step before the page's first block (0 on a page without blocks)."""
+    above = page_pairs(tables, blocks).where((F.col("b_bottom") <= F.col("top") + 2) & (G.horizontal_overlap(G.box(), G.box("b_")) >= 0.15))
+    turn = Window.partitionBy("page", "id").orderBy(F.greatest(F.lit(0), F.col("top") - F.col("b_bottom")), "b_ord")
+    nearest = above.withColumn("n", F.row_number().over(turn)).where("n = 1").select("page", "id", (F.col("b_ord") + 0.5).alias("after"))
+    start = blocks.groupBy("page").agg((F.min("ord") - 0.5).alias("start"))
+    out = tables.select("page", "id", "k").join(nearest, ["page", "id"], "left").join(start, "page", "left")
+    first = F.lit(None).cast("double")
+    if absorbed is not None:
+        out = out.join(absorbed.groupBy("page", "id").agg(F.min("ord").cast("double").alias("inside")), ["page", "id"], "left")
+        first = F.col("inside")
+    return out.select("page", "id", "k", F.coalesce(first, "after", "start", F.lit(0.0)).alias("slot"))
+
+
+def normalised_slots(slots: DataFrame) -> DataFrame:
+    """page, id, slot: a page's slots in rising order go to its tables in physical order k."""
+    by_slot = slots.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("slot", "k"))).select("page", "n", "slot")
+    by_place = slots.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("k"))).select("page", "n", "id")
+    return by_place.join(by_slot, ["page", "n"]).select("page", "id", "slot")
+
+
+def continuations(tables: DataFrame, blocks: DataFrame, least: float = LEAST_OVERLAP, lead: float = 0.05) -> DataFrame:
+    """page, ord, status, id, n: table blocks against agent tables that reach their page from an earlier one.
+
+    One candidate is taken from ``least`` horizontal overlap on; of several the best, if it leads by
+    more than ``lead``; otherwise the block is ambiguous (id null)."""
+    reach = tables.where("more > 0").withColumn("anchor", F.col("page")).withColumn("page", F.explode(F.sequence(F.col("anchor") + 1, F.col("anchor") + F.col("more"))))
+    pairs = page_pairs(reach, blocks.where("kind = 'table'")).withColumn("score", G.horizontal_overlap(G.box(), G.box("b_")))
+    turn = Window.partitionBy("page", "b_ord").orderBy(F.desc("score"), F.desc("id"))
+    ranked = pairs.withColumn("r", F.row_number().over(turn)).where("r <= 2").groupBy("page", "b_ord")
+    both = ranked.agg(F.max(F.when(F.col("r") == 1, F.struct("score", "id"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+    counts = pairs.groupBy("page", "b_ord").agg(F.count("*").alias("n"))
+    status = (
+        F.when((F.col("n") == 1) & (F.col("a.score") >= least), "continuation_source_page")
+        .when((F.col("n") > 1) & (F.col("a.score") >= least) & (F.col("a.score") - F.col("second") > lead), "continuation_horizontal_overlap")
+        .otherwise("ambiguous_continuation")
+    )
+    out = both.join(counts, ["page", "b_ord"]).withColumn("status", status)
+    return out.select("page", F.col("b_ord").alias("ord"), "status", F.when(F.col("status") != "ambiguous_continuation", F.col("a.id")).alias("id"), "n")
+
+
+def lineage_actions(tables: DataFrame, relations: DataFrame) -> DataFrame:
+    """page, id, action, n_blocks: what each agent table did to the layout's tables."""
+    n = relations.groupBy("page", "id").agg(F.count("*").alias("n_blocks"))
+    out = tables.select("page", "id", "more").join(n, ["page", "id"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    action = F.when(F.col("n_blocks") == 0, "inserted").when((F.col("n_blocks") > 1) | (F.col("more") > 0), "merged").otherwise("replaced")
+    return out.select("page", "id", action.alias("action"), "n_blocks")

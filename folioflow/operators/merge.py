@@ -1,0 +1,21 @@
+"""Page assembly: blocks and tables in one reading order, rendered as Markdown."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def page_entries(blocks: DataFrame, slots: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """page, at, rank, pos, text: what a page shows; at one place tables come before blocks."""
+    left = blocks.join(absorbed.select("page", "ord"), ["page", "ord"], "left_anti")
+    shown = left.select("page", F.col("ord").cast("double").alias("at"), F.lit(1000).alias("rank"), F.col("ord").cast("long").alias("pos"), F.concat(F.col("kind"), F.lit(" "), F.col("ord").cast("string")).alias("text"))
+    tables = slots.select("page", F.col("slot").alias("at"), F.lit(0).alias("rank"), F.col("id").alias("pos"), F.concat(F.lit("<!-- table "), F.col("id").cast("string"), F.lit(" -->")).alias("text"))
+    return shown.unionByName(tables)
+
+
+def assembled(entries: DataFrame) -> DataFrame:
+    """page, markdown: entries in order, a blank line between, after the page's marker."""
+    order = F.sort_array(F.collect_list(F.struct("at", "rank", "pos", "text")))
+    body = F.array_join(F.transform(order, lambda x: x["text"]), "\n\n")
+    return entries.groupBy("page").agg(body.alias("b")).select("page", F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n\n"), F.col("b")).alias("markdown"))

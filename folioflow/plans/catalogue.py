@@ -1,5 +1,344 @@
 """The library's queries over the driver tables and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import grid, text
+from ..operators import candidates, matching, memo, merge, review, usage, validate
+from ..sources.adapters import sql_of, view
+
+FLAGSHIP = "insertion_slot"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "insertion_slot"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL for another engine."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OVER = "case when least(aa, ba) > 0 then iw * ih / least(aa, ba) else 0.0::double end"
+_PAIRS = f"""pairs as (
+  select *, {_OVER} as score, case when least(x1 - x0, bx1 - bx0) > 0 then greatest(0, least(x1, bx1) - greatest(x0, bx0))::double / least(x1 - x0, bx1 - bx0) else 0.0::double end as across,
+    (bx0 + bx1) / 2.0::double between x0 - 2 and x1 + 2 and (btop + bbottom) / 2.0::double between top - 2 and bottom + 2 as inside
+  from (select t.*, b.ord, b.kind, b.x0 as bx0, b.top as btop, b.x1 as bx1, b.bottom as bbottom,
+      ((t.x1 - t.x0) * (t.bottom - t.top))::double as aa, ((b.x1 - b.x0) * (b.bottom - b.top))::double as ba,
+      greatest(0, least(t.x1, b.x1) - greatest(t.x0, b.x0))::double as iw, greatest(0, least(t.bottom, b.bottom) - greatest(t.top, b.top))::double as ih
+    from agent_tables t join blocks b on t.page = b.page))"""
+_BOTH = sql_of("blocks", "agent_tables") + ",\n" + _PAIRS
+_GREEDY = """
+offers as (select page, id, k, ord, score from pairs where kind = 'table' and score > 0),
+r1 as (select page, id, ord, score from (select *, row_number() over (partition by page, id order by score desc, ord) as n from offers where k = 1) where n = 1),
+w1 as (select page, ord from r1 where score >= 0.35),
+r2 as (select page, id, ord, score from (select o.*, row_number() over (partition by o.page, id order by score desc, o.ord) as n from offers o anti join w1 on o.page = w1.page and o.ord = w1.ord where k = 2) where n = 1),
+w2 as (select * from w1 union all select page, ord from r2 where score >= 0.35),
+r3 as (select page, id, ord, score from (select o.*, row_number() over (partition by o.page, id order by score desc, o.ord) as n from offers o anti join w2 on o.page = w2.page and o.ord = w2.ord where k = 3) where n = 1),
+won as (select * from r1 union all select * from r2 union all select * from r3),
+greedy as (select t.page, t.id, t.k, case when w.score >= 0.35 then w.ord end as ord, coalesce(w.score, 0.0::double) as score from agent_tables t left join won w on t.page = w.page and t.id = w.id)"""
+_DIRECT = _GREEDY + """,
+first_pass as (select page, id, ord, 'bbox_overlap' as method from greedy where ord is not null),
+second_pass as (select page, id, ord from (select p.page, p.id, p.ord, row_number() over (partition by p.page, p.ord order by p.k) as n from pairs p anti join first_pass f on p.page = f.page and p.ord = f.ord where p.kind = 'table' and p.inside) where n = 1),
+direct as (select * from first_pass union all select page, id, ord, 'bbox_contains_center' from second_pass)"""
+_ABSORBED = "absorbed as (select page, ord, id from (select *, row_number() over (partition by page, ord order by k) as n from pairs where inside and kind not in ('title', 'section_header', 'caption')) where n = 1)"
+_SLOTS = _ABSORBED + """,
+nearest as (select page, id, ord + 0.5 as after from (select *, row_number() over (partition by page, id order by greatest(0, top - bbottom), ord) as n from pairs where bbottom <= top + 2 and across >= 0.15) where n = 1),
+slots as (select t.page, t.id, t.k, coalesce(a.o, n.after, s.o, 0)::double as slot from agent_tables t
+  left join (select page, id, min(ord) as o from absorbed group by page, id) a on a.page = t.page and a.id = t.id
+  left join nearest n on n.page = t.page and n.id = t.id left join (select page, min(ord) - 0.5 as o from blocks group by page) s on s.page = t.page)"""
+_NORMAL = _SLOTS + """,
+placed as (select b.page, b.id, a.slot from (select *, row_number() over (partition by page order by slot, k) as n from slots) a
+  join (select *, row_number() over (partition by page order by k) as n from slots) b on a.page = b.page and a.n = b.n)"""
+
+
+@query(_BOTH + " select page, id, ord, score, across, inside from pairs where iw * ih > 0")
+def bbox_overlap(spark, sf):
+    a, b = G.box(), G.box("b_")
+    pairs = matching.page_pairs(view(spark, sf, "agent_tables"), view(spark, sf, "blocks")).where(G.intersection(a, b) > 0)
+    return pairs.select("page", "id", F.col("b_ord").alias("ord"), G.overlap(a, b).alias("score"), G.horizontal_overlap(a, b).alias("across"), G.contains_center(a, b, 2.0).alias("inside"))
+
+
+@query(sql_of("blocks") + " select page, ord, kind, kind in ('title', 'section_header', 'caption') as protected, kind = 'picture' and page > 1 and top < 70 and bottom - top < 60 and x1 - x0 < 160 as header_logo from blocks")
+def protected_blocks(spark, sf):
+    b, c = view(spark, sf, "blocks"), G.box()
+    logo = (F.col("kind") == "picture") & (F.col("page") > 1) & (c.top < 70) & (G.height(c) < 60) & (G.width(c) < 160)
+    return b.select("page", "ord", "kind", F.col("kind").isin(*matching.PROTECTED).alias("protected"), logo.alias("header_logo"))
+
+
+@query(_BOTH + "," + _GREEDY + " select * from greedy")
+def best_match(spark, sf):
+    return matching.best_match(view(spark, sf, "agent_tables"), view(spark, sf, "blocks"))
+
+
+@query(_BOTH + "," + _DIRECT + " select * from direct")
+def direct_relations(spark, sf):
+    return matching.direct_relations(view(spark, sf, "agent_tables"), view(spark, sf, "blocks"))
+
+
+@query(_BOTH + "," + _ABSORBED + " select * from absorbed")
+def absorbed_blocks(spark, sf):
+    return matching.absorbed_blocks(view(spark, sf, "agent_tables"), view(spark, sf, "blocks"))
+
+
+@query(sql_of("blocks") + """,
+near as (select p.page, p.ord, c.ord as caption, row_number() over (partition by p.page, p.ord order by c.top - p.bottom, c.ord) as n
+  from blocks p join blocks c on p.page = c.page where p.kind = 'picture' and c.kind = 'caption' and c.top >= p.bottom - 2 and c.top - p.bottom <= 55 and least(p.x1, c.x1) > greatest(p.x0, c.x0))
+select b.page, b.ord, n.caption from blocks b left join near n on b.page = n.page and b.ord = n.ord and n.n = 1 where b.kind = 'picture'""")
+def caption_asof(spark, sf):
+    return matching.captions(view(spark, sf, "blocks"))
+
+
+@query(_BOTH + "," + _SLOTS + " select * from slots")
+def insertion_slot(spark, sf):
+    tables, blocks = view(spark, sf, "agent_tables"), view(spark, sf, "blocks")
+    return matching.insertion_slots(tables, blocks, matching.absorbed_blocks(tables, blocks))
+
+
+@query(_BOTH + "," + _NORMAL + " select * from placed")
+def slot_normalize(spark, sf):
+    return matching.normalised_slots(insertion_slot(spark, sf))
+
+
+@query(_BOTH + "," + _NORMAL + """,
+entries as (select page, ord::double as place, 1000 as rank, ord::bigint as pos, kind || ' ' || ord as line from blocks b anti join absorbed a on a.page = b.page and a.ord = b.ord
+  union all select page, slot, 0, id, '<!-- table ' || id || ' -->' from placed)
+select page, sha256('<!-- page ' || page || ' -->' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) order by place, rank, pos)) as markdown_sha256 from entries group by page""")
+def page_assembly(spark, sf):
+    tables, blocks = view(spark, sf, "agent_tables"), view(spark, sf, "blocks")
+    absorbed = matching.absorbed_blocks(tables, blocks)
+    pages = merge.assembled(merge.page_entries(blocks, slot_normalize(spark, sf), absorbed))
+    return pages.select("page", F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+@query(sql_of("blocks", "agent_tables") + """,
+reach as (select t.id, t.page + d as page, t.x0, t.x1 from agent_tables t, range(1, 3) r(d) where d <= more),
+scored as (select b.page, b.ord, r.id, case when least(r.x1 - r.x0, b.x1 - b.x0) > 0 then greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0))::double / least(r.x1 - r.x0, b.x1 - b.x0) else 0.0 end as score from reach r join blocks b on r.page = b.page where b.kind = 'table'),
+ranked as (select *, row_number() over (partition by page, ord order by score desc, id desc) as r, count(*) over (partition by page, ord) as n, lead(score) over (partition by page, ord order by score desc, id desc) as second from scored),
+said as (select *, case when n = 1 and score >= 0.35 then 'continuation_source_page' when n > 1 and score >= 0.35 and score - second > 0.05 then 'continuation_horizontal_overlap' else 'ambiguous_continuation' end as status from ranked where r = 1)
+select page, ord, status, case when status <> 'ambiguous_continuation' then id end as id, n from said""")
+def continuation_lineage(spark, sf):
+    return matching.continuations(view(spark, sf, "agent_tables"), view(spark, sf, "blocks"))
+
+
+@query(_BOTH + "," + _DIRECT + """
+select t.page, t.id, case when coalesce(n, 0) = 0 then 'inserted' when n > 1 or more > 0 then 'merged' else 'replaced' end as action, coalesce(n, 0) as n_blocks
+from agent_tables t left join (select page, id, count(*) as n from direct group by page, id) d on d.page = t.page and d.id = t.id""")
+def lineage_actions(spark, sf):
+    tables = view(spark, sf, "agent_tables")
+    return matching.lineage_actions(tables, matching.direct_relations(tables, view(spark, sf, "blocks")))
+
+
+@query(sql_of("blocks", "agent_tables") + """
+select 'page_without_blocks' as rule, 'warning' as severity, id::varchar as subject from agent_tables t anti join blocks b on b.page = t.page""")
+def validate_lineage(spark, sf):
+    tables, blocks = view(spark, sf, "agent_tables"), view(spark, sf, "blocks")
+    return validate.lineage_issues(matching.direct_relations(tables, blocks), tables, blocks)
+
+
+@query(r"""
+with marked as (select page_id, html, list_transform(regexp_extract_all(html, '<!--\s*([a-z]+)\s+([0-9]+)\s*-->', 2), lambda x: x::int) as found from pages)
+select 'page_markers' as rule, 'error' as severity, page_id::varchar as subject from marked where len(found) = 0 or list_sort(list_distinct(found)) <> found
+union all select 'not_empty', 'error', page_id::varchar from pages where coalesce(trim(html), '') = ''""")
+def validate_markers(spark, sf):
+    return validate.marker_issues(read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+
+
+@query("""
+with s as (select o_orderkey as id, case o_custkey % 5 when 0 then '3,1-2,' || (o_custkey % 9 + 1) when 1 then '0,2' when 2 then '5-3' when 3 then (o_custkey % 7 + 1) || '-' || (o_custkey % 7 + 4) || ',2' else 'x' end as spec, o_custkey as c from orders)
+select id, array_to_string(case c % 5 when 0 then list_sort(list_distinct([1, 2, 3, c % 9 + 1])) when 3 then list_sort(list_distinct(list_append(range(c % 7 + 1, c % 7 + 5), 2))) end, ',') as pages from s""")
+def page_selection(spark, sf):
+    c = F.col("o_custkey")
+    spec = F.when(c % 5 == 0, F.concat(F.lit("3,1-2,"), (c % 9 + 1).cast("string"))).when(c % 5 == 1, "0,2").when(c % 5 == 2, "5-3").when(c % 5 == 3, F.concat((c % 7 + 1).cast("string"), F.lit("-"), (c % 7 + 4).cast("string"), F.lit(",2"))).otherwise("x")
+    out = candidates.page_selection(read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), spec.alias("spec")))
+    return out.select("id", F.array_join("pages", ",").alias("pages"))
+
+
+_CANDIDATES = """union_ as (select page, 'layout' as src from blocks where kind = 'table' union all select page, 'vision' from detections where has_table or estimate > 0
+  union all select page, 'heuristic' from detections where tables_found > 5 or lines_and_rects >= 20),
+candidate as (select page, array_to_string(list_sort(list(distinct src)), ',') as sources from union_ group by page)"""
+_CHAINS = """{0} as (select page, max(case when starts then page end) over (order by page rows between unbounded preceding and current row) as lead
+  from (select page, not (may_merge and coalesce(lag(page) over (order by page) = page - 1, false)) as starts from {1}))"""
+
+
+@query(sql_of("blocks", "detections") + "," + _CANDIDATES + " select * from candidate")
+def candidate_union(spark, sf):
+    return candidates.candidate_union(view(spark, sf, "blocks"), view(spark, sf, "detections"))
+
+
+@query(sql_of("detections") + "," + _CHAINS.format("chains", "detections") + " select * from chains")
+def page_chains(spark, sf):
+    return candidates.page_chains(view(spark, sf, "detections").select("page", "may_merge"))
+
+
+_READY = "known as (select * from detections where page % 11 <> 5), " + _CANDIDATES.replace("from detections", "from known") + ",\npicked as (select k.* from known k semi join candidate c on c.page = k.page)," + _CHAINS.format("chains", "picked") + """,
+groups as (select lead, count(*) as pages, max(page) as last from chains group by lead),
+ready as (select lead, pages, k.page is not null as ready from groups g left join known k on k.page = g.last + 1)"""
+
+
+@query(sql_of("blocks", "detections") + "," + _READY + " select * from ready")
+def ready_groups(spark, sf):
+    known = view(spark, sf, "detections").where("page % 11 <> 5")
+    return candidates.ready_groups(known, candidates.candidate_union(view(spark, sf, "blocks"), known))
+
+
+@query(sql_of("blocks", "detections") + "," + _READY + " select lead, pages, case when ready and pages > 1 then 0 when pages = 2 then 1 else 2 end as category from ready")
+def queue_priority(spark, sf):
+    return candidates.queue_priority(ready_groups(spark, sf))
+
+
+@query(sql_of("detections") + """,
+n as (select page // 100 as doc, page, (row_number() over w - 1) // 8 as batch, lag(page) over w as prev from detections where page % 7 <> 3 window w as (partition by page // 100 order by page))
+select doc, batch::int as batch, min(page) as first, max(page) as last, count(*) as n, case when arg_min(prev, page) = min(page) - 1 then arg_min(prev, page) end as context from n group by doc, batch""")
+def contact_batches(spark, sf):
+    pages = view(spark, sf, "detections").where("page % 7 <> 3").select(F.floor(F.col("page") / 100).cast("long").alias("doc"), "page")
+    return candidates.batches(pages)
+
+
+@query(sql_of("agent_events") + """,
+e as (select *, case when seq % 3 = 0 then tokens::bigint else 0 end as c from agent_events)
+select stage, job, count(*) as n, sum(tokens::bigint)::bigint as tokens, sum(c)::bigint as cached, case when sum(tokens::bigint) > 0 then sum(c)::double / sum(tokens::bigint)::double else 0.0 end as ratio from e group by rollup(stage, job)""")
+def usage_rollup(spark, sf):
+    return usage.usage_rollup(view(spark, sf, "agent_events"))
+
+
+@query("select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'assistant' and trim(text) <> '') where n = 1")
+def last_assistant(spark, sf):
+    return usage.last_text(read(spark, sf, "conversations"))
+
+
+@query("""
+with r as (select event_type as stage, epoch(ts)::bigint as ts, user_id % 900 + 1 as run from events),
+t as (select stage, ts, 1 as d from r union all select stage, ts + run, -1 from r),
+s as (select stage, ts, sum(case when d > 0 then 1 else 0 end) as up, sum(d) as net from t group by stage, ts),
+l as (select *, sum(net) over (partition by stage order by ts) as level from s)
+select stage, sum(up)::bigint as n, max(level)::bigint as peak from l group by stage""")
+def sched_summary(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_type").alias("stage"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), (F.col("user_id") % 900 + 1).alias("run"))
+    return usage.scheduler_summary(e)
+
+
+@query("""select stage, v[(round_even((len(v) - 1) * 0.2::double, 0))::int + 1] as p from (select event_type as stage, list_sort(list(user_id)) as v from events group by event_type)""")
+def nearest_rank_p20(spark, sf):
+    return usage.percentiles(read(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("user_id").alias("v")))
+
+
+@query("""select doc, task, ended from (select user_id as doc, event_type as task, event_id as ended, row_number() over (partition by user_id order by event_id desc, event_type desc) as n from events where event_id % 4 = 0) where n = 1""")
+def latest_failure(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("task"), F.col("event_id").alias("ended"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("completed").alias("status"))
+    return usage.latest_failure(e)
+
+
+_CELLS = sql_of("blocks") + f", cells as ({__import__('folioflow.sources.adapters', fromlist=['VIEWS']).VIEWS['cells']})"
+
+
+@query(_CELLS + """,
+rows_ as (select tab, r, string_agg(value, chr(1) order by c) as row, count(*) as w, count(*) filter (value = '') as empty from cells group by tab, r),
+first_ as (select tab, arg_min(row, r) as f, min(r) as fr from rows_ group by tab)
+select tab, count(*) as n_rows, max(w) as width, sum(empty)::bigint as empty, count(*) filter (row = f and r > fr) as repeated from rows_ join first_ using (tab) group by tab""")
+def csv_profile(spark, sf):
+    return review.csv_profile(view(spark, sf, "cells"))
+
+
+@query(_CELLS + """,
+l as (select * from cells where (tab + r) % 9 <> 0), o as (select tab, r, c, case when (tab + r + c) % 13 = 0 then value || '*' else value end as value from cells where (tab + r) % 8 <> 0)
+select tab, count(*) filter (coalesce(l.value, '') <> coalesce(o.value, '')) as changed from l full join o using (tab, r, c) group by tab""")
+def cell_diff(spark, sf):
+    cells = view(spark, sf, "cells")
+    other = cells.where("(tab + r) % 8 <> 0").withColumn("value", F.when((F.col("tab") + F.col("r") + F.col("c")) % 13 == 0, F.concat("value", F.lit("*"))).otherwise(F.col("value")))
+    return review.cell_diff(cells.where("(tab + r) % 9 <> 0"), other)
+
+
+@query(_CELLS + """,
+u as (select distinct tab // 4 as near, tab, value from cells where length(value) >= 2), own as (select tab, count(*) as own from u group by tab),
+p as (select a.tab, b.tab as other, count(*) as n_shared from u a join u b on a.near = b.near and a.value = b.value and a.tab <> b.tab group by a.tab, b.tab),
+g as (select tab, other, n_shared, n_shared::double / own as recall from p join own using (tab))
+select tab, other, n_shared, recall from (select *, row_number() over (partition by tab order by recall desc, n_shared desc, abs(tab - other), other) as n from g where n_shared >= 3 and recall >= 0.45) where n = 1""")
+def content_overlap(spark, sf):
+    cells = view(spark, sf, "cells").withColumn("near", F.floor(F.col("tab") / 4))
+    return review.content_overlap(cells, cells)
+
+
+@query(sql_of("agent_tables") + """
+select s.page + s.more as page, s.id, count(*) as below from agent_tables s join agent_tables t on t.page = s.page + s.more and t.top >= s.bottom - 3 and t.id <> s.id where s.more > 0 group by s.page + s.more, s.id""")
+def transition_pages(spark, sf):
+    return review.transition_pages(view(spark, sf, "agent_tables"))
+
+
+@query("""
+with d as (select doc_id // 10 as doc, case when quality = 1 then 'approved' when toxic = 1 then 'ignored' else 'unreviewed' end as status, toxic = 1 as marked from labels)
+select doc, count(*) as n, count(*) filter (status <> 'unreviewed') as reviewed, count(*) filter (marked) as marked,
+  case when bool_or(status <> 'unreviewed' and marked) then 'pending_apply' when bool_or(status <> 'unreviewed') then 'applied' else 'no_apply_needed' end as state from d group by doc""")
+def review_summary(spark, sf):
+    status = F.when(F.col("quality") == 1, "approved").when(F.col("toxic") == 1, "ignored").otherwise("unreviewed")
+    return review.review_summary(read(spark, sf, "labels").select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc"), status.alias("status"), (F.col("toxic") == 1).alias("marked")))
+
+
+@query("""
+select doc, tab, saved, version from (select user_id as doc, event_type as tab, epoch(ts)::bigint as saved, event_id as version, row_number() over (partition by user_id, event_type order by epoch(ts)::bigint desc, event_id desc) as n from events) where n = 1""")
+def latest_drafts(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("tab"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("saved"), F.col("event_id").alias("version"))
+    return review.latest_drafts(e)
+
+
+@query(sql_of("page_sizes") + """
+select id, (ceil(width / 32.0) * ceil(height / 32.0))::bigint as patches,
+  coalesce(list_max(list_filter(range(1, 241), lambda d: (ceil(ceil(width * d / 72.0::double) / 32.0) * ceil(ceil(height * d / 72.0::double) / 32.0))::bigint <= 10000)), 1)::int as dpi from page_sizes""")
+def render_dpi(spark, sf):
+    p = view(spark, sf, "page_sizes")
+    return p.select("id", text.patch_count(F.col("width"), F.col("height")).alias("patches"), text.render_dpi(F.col("width"), F.col("height"), 240, 10_000).cast("int").alias("dpi"))
+
+
+@query(r"""
+select doc_id, sha256(lower(trim(regexp_replace(translate(text, '*#', ''), '[\x20\x09-\x0D\x{A0}]+', ' ', 'g')))) as normal_sha256, sha256(text) as text_sha256,
+  case when length(text) > 180 then left(text, 179) || '…' else text end as preview,
+  coalesce(nullif(regexp_replace(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'item') as slug from documents""")
+def normalized_text(spark, sf):
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text.normalised(t), 256).alias("normal_sha256"), F.sha2(t, 256).alias("text_sha256"), text.preview(t).alias("preview"), text.slug(F.substring(t, 1, 60)).alias("slug"))
+
+
+@query("""
+with recursive labels_(i, n, label) as (select p_partkey, p_partkey, '' from part union all select i, n // 26 - 1, chr((65 + n % 26)::int) || label from labels_ where n >= 0)
+select i as id, label from labels_ where n < 0""")
+def column_labels(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.column_label(F.col("p_partkey")).alias("label"))
+
+
+@query(_CELLS + """,
+e as (select tab, r, string_agg(replace(replace(value, '|', chr(92) || '|'), chr(10), '<br>'), ' | ' order by c) as line from cells where r <= 6 group by tab, r)
+select tab, '| ' || (array_agg(line order by r))[1] || ' |' || chr(10) || '| --- | --- | --- | --- |' || coalesce(chr(10) || string_agg('| ' || line || ' |', chr(10) order by r) filter (r > 1), '') as markdown from e group by tab""")
+def grid_markdown(spark, sf):
+    cells = view(spark, sf, "cells").where("r <= 6")
+    rows = cells.groupBy("tab", "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]).alias("row"))
+    grids = rows.groupBy("tab").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("rows"))
+    return grids.select("tab", grid.markdown(F.col("rows")).alias("markdown"))
+
+
+@query("""
+select user_id as doc, event_type as task, count(*) > 0 and bool_or(event_id % 3 = 0 and event_id % 5 > 0) as hit from events group by user_id, event_type""")
+def cache_hits(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("task"), "event_id")
+    wanted = e.select("doc", "task").distinct().withColumn("signature", memo.signature(F.col("doc"), F.col("task")))
+    states = e.withColumn("signature", memo.signature(F.col("doc"), F.col("task"))).withColumn("status", F.when(F.col("event_id") % 3 == 0, "completed").otherwise("failed")).withColumn("n_outputs", F.col("event_id") % 5)
+    return memo.cache_hits(wanted, states)
+
+
+@query("""
+select o_orderkey as doc, case when o_orderstatus <> 'O' then 'not completed' when o_custkey % 4 = 0 then 'validation failed' when o_custkey % 5 = 0 then 'no hash' when o_custkey % 6 = 0 then 'source changed' when o_custkey % 7 = 0 then 'empty output' end as reason from orders""")
+def completed_reason(spark, sf):
+    c = F.col("o_custkey")
+    runs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderstatus") == "O", "completed").alias("status"), (c % 4 != 0).alias("valid"), F.when(c % 5 != 0, c).alias("stored"), F.when(c % 6 == 0, -1).otherwise(c).alias("actual"), (c % 7).alias("size"))
+    return memo.completed_reason(runs)
