@@ -8,7 +8,7 @@ alignment of their shingles.  The similarity is aligned / (n1 + n2 - aligned): t
 similarity of the labelled shingles, counting only what an order-preserving alignment can match.
 
 Texts with equal words are one node from the start.  Links unite nodes to classes; buckets that
-still hold several classes are compared again with other representatives until that finds nothing.
+still hold several classes are compared again, with other representatives.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, LENGTH = 32, 5
 #: Texts of at most so many shingles also get short sketches, as long ones then hold nearly all of them.
 FEW, FEW_SKETCHES, FEW_LENGTH = 20, 12, 2
-#: Rounds that look for further links with other representatives, once one finds none.
-LEAST_ROUNDS = 2
+#: Sketches of the first round, and further rounds over all sketches.
+FIRST, ROUNDS = 8, 3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -228,43 +228,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _candidates(rows: DataFrame, labels: DataFrame | None, order: Column) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket with its representative, the first by ``order``; where
+    ``labels`` are known, only pairs that would join two classes."""
+    known = rows if labels is None else rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    own = F.col("node") if labels is None else F.col("comp")
+    ends = known.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", own.alias("comp"))).alias("rep"), F.min(own).alias("low"), F.max(own).alias("high"))
+    mixed = materialise(ends.where("low <> high").select("bucket", F.col("rep.node").alias("rep"), F.col("rep.comp").alias("rep_comp")), "buckets")
+    pairs = known.join(mixed, "bucket").where(own != F.col("rep_comp"))
+    return materialise(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "pairs")
+
+
 def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(labels, links): node, comp of every node that has a link; a, b, similarity of the links found."""
+    """(labels, links): node, comp of every node that has a link; a, b, similarity of the links found.
+
+    The first round compares the members of buckets of FIRST sketches with one representative; the
+    later ones, over all sketches, only members that are not in its class yet, against the smallest
+    node and then against others, so near copies by the thousand cost few comparisons each."""
     texts = df.select(node_of(F.col("text")).alias("node"), "text").where("node is not null")
     prints = materialise(_prints(texts), "prints").dropDuplicates(["node"])
-    rows = prints.select("node", F.explode("sketches").alias("bucket"))
-    rows = materialise(rows, "sketch-rows")
-    alive = rows.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep <> last").select("bucket", "rep")
-    members = materialise(rows.join(materialise(alive, "buckets"), "bucket"), "members")
-    pairs = materialise(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    involved = members.select("node").distinct()
-    own = texts.join(materialise(involved, "involved"), "node")
-    words = materialise(_word_arrays(own).dropDuplicates(["node"]), "words")
-    links = materialise(_verified(pairs, words, least), "verified")
-    tested, labels, idle, turn = [pairs], components(links), 0, 0
-    members = members.select("bucket", "node")
-    while idle < LEAST_ROUNDS:
-        turn += 1
-        known = materialise(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "members")
-        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node", "comp")
-        mixed = known.groupBy("bucket").agg(F.min(order).alias("rep"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        mixed = materialise(mixed.select("bucket", F.col("rep.node").alias("rep"), F.col("rep.comp").alias("rep_comp")), "mixed")
-        split = materialise(known.join(mixed, "bucket"), "members")
-        members = split.select("bucket", "node")
-        new = split.where("comp <> rep_comp").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-        for t in tested:
-            new = new.join(t, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        if not new.limit(1).count():
-            idle += 1
-            continue
-        tested.append(new)
+    rows = materialise(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")), "sketch-rows")
+    shared = materialise(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"), "shared")
+    rows = materialise(rows.join(shared, "bucket"), "members")
+    involved = materialise(rows.select("node").distinct(), "involved")
+    words = materialise(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
+    first = (F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES)
+    tested, links, labels = None, None, None
+    for turn in range(1 + ROUNDS):
+        order = F.col("node") if turn < 2 else F.xxhash64("node", "bucket", F.lit(turn))
+        new = _candidates(rows.where(first).select("bucket", "node") if not turn else rows.select("bucket", "node"), labels, order)
+        if tested is not None:
+            new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_verified(new, words, least), "verified")
-        if found.limit(1).count():
-            links, idle = links.unionByName(found), 0
-            labels = components(links)
-        else:
-            idle += 1
+        tested = new if tested is None else tested.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
     return labels, links
 
 
