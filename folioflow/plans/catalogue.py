@@ -220,7 +220,7 @@ def last_assistant(spark, sf):
 
 
 @query("""
-with r as (select event_type as stage, epoch(ts)::bigint as ts, user_id % 900 + 1 as run from events),
+with r as (select event_type as stage, floor(epoch(ts))::bigint as ts, user_id % 900 + 1 as run from events),
 t as (select stage, ts, 1 as d from r union all select stage, ts + run, -1 from r),
 s as (select stage, ts, sum(case when d > 0 then 1 else 0 end) as up, sum(d) as net from t group by stage, ts),
 l as (select *, sum(net) over (partition by stage order by ts) as level from s)
@@ -287,7 +287,7 @@ def review_summary(spark, sf):
 
 
 @query("""
-select doc, tab, saved, version from (select user_id as doc, event_type as tab, epoch(ts)::bigint as saved, event_id as version, row_number() over (partition by user_id, event_type order by epoch(ts)::bigint desc, event_id desc) as n from events) where n = 1""")
+select doc, tab, saved, version from (select user_id as doc, event_type as tab, floor(epoch(ts))::bigint as saved, event_id as version, row_number() over (partition by user_id, event_type order by floor(epoch(ts))::bigint desc, event_id desc) as n from events) where n = 1""")
 def latest_drafts(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("tab"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("saved"), F.col("event_id").alias("version"))
     return review.latest_drafts(e)
