@@ -8,7 +8,10 @@ alignment of their shingles.  The similarity is aligned / (n1 + n2 - aligned): t
 similarity of the labelled shingles, counting only what an order-preserving alignment can match.
 
 Texts with equal words are one node from the start.  Links unite nodes to classes; buckets that
-still hold several classes are compared again, with other representatives.
+still hold several classes are compared again, with other and more representatives, until a round
+finds no link.  A pair is aligned only if its lengths and its parity bits allow the similarity: a
+shingle that only one of two texts has flips one bit, so the bits that differ never outnumber the
+shingles that do, and what this leaves out is surely below the threshold.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialise
+from .common import bound_batches, by_batch, materialise
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, LENGTH = 32, 5
 #: Texts of at most so many shingles also get short sketches, as long ones then hold nearly all of them.
 FEW, FEW_SKETCHES, FEW_LENGTH = 20, 12, 2
-#: Sketches of the first round, and further rounds over all sketches.
-FIRST, ROUNDS = 8, 3
+#: Sketches of the first round; representatives of a bucket double each round up to so many.
+FIRST, MOST_SLOTS = 8, 32
+#: 64-bit words of a text's parity bits.
+PARITY = 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,7 +101,7 @@ def _orders(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(s: np.ndarray, n: int, length: int, seed: int) -> np.ndarray:
     out = np.full(n, np.uint64(seed), np.uint64)
     mult, add = _orders(n, seed)
-    step = max(1, 2_000_000 // len(s))
+    step = max(1, 500_000 // len(s))
     for at in range(0, n, step):
         x = (s[None, :] ^ add[at : at + step, None]) * mult[at : at + step, None]
         x ^= x >> np.uint64(32)
@@ -108,9 +113,8 @@ def _sketch(s: np.ndarray, n: int, length: int, seed: int) -> np.ndarray:
     return out
 
 
-def sketches(words: np.ndarray) -> np.ndarray:
-    """Bucket names of a text's sketches."""
-    s = labelled(shingles(words))
+def sketches(s: np.ndarray) -> np.ndarray:
+    """Bucket names of the sketches of a text's labelled shingles."""
     if not len(s):
         return s
     every = [_sketch(s, SKETCHES, LENGTH, 1)]
@@ -119,6 +123,12 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return np.concatenate(every)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY words of bits: for each cell of the hash space, whether it holds an odd number of shingles."""
+    odd = np.bincount((s >> np.uint64(64 - 6 - (PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: list, b: list, band: int) -> int:
     """Longest common subsequence of a and b whose matches stay within ``band`` of the diagonal.
 
@@ -177,11 +187,13 @@ def node_of(text: Column) -> Column:
 def _prints(nodes: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"node": batch.column("node"), "sketches": [sketches(word_hashes(t.as_py())).view(np.int64) for t in batch.column("text")]}
+            words = [word_hashes(t.as_py()) for t in batch.column("text")]
+            sets = [labelled(shingles(w)) for w in words]
+            return {"node": batch.column("node"), "sketches": [sketches(s).view(np.int64) for s in sets], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets]}
 
         return work
 
-    return by_batch(nodes, "node long, sketches array<long>", make)
+    return by_batch(nodes, "node long, sketches array<long>, n int, bits array<long>", make)
 
 
 def _word_arrays(texts: DataFrame) -> DataFrame:
@@ -198,7 +210,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b, similarity of those pairs (a, b) that reach it."""
     left = pairs.join(words.withColumnsRenamed({"node": "a", "words": "wa"}), "a")
     both = left.join(words.withColumnsRenamed({"node": "b", "words": "wb"}), "b").select("a", "b", "wa", "wb")
-    both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    bound_batches(both.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -228,42 +240,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(rows: DataFrame, labels: DataFrame | None, order: Column) -> DataFrame:
-    """Pairs (a, b) of each member of a bucket with its representative, the first by ``order``; where
-    ``labels`` are known, only pairs that would join two classes."""
-    known = rows if labels is None else rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    own = F.col("node") if labels is None else F.col("comp")
-    ends = known.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", own.alias("comp"))).alias("rep"), F.min(own).alias("low"), F.max(own).alias("high"))
-    mixed = materialise(ends.where("low <> high").select("bucket", F.col("rep.node").alias("rep"), F.col("rep.comp").alias("rep_comp")), "buckets")
-    pairs = known.join(mixed, "bucket").where(own != F.col("rep_comp"))
-    return materialise(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "pairs")
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after new links (a, b) between their classes or to nodes without one."""
+    if labels is None:
+        return components(links)
+    known = lambda end: labels.withColumnsRenamed({"node": end, "comp": f"c{end}"})
+    ends = links.select("a", "b").join(known("a"), "a", "left").join(known("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    now = joined.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    moved = labels.join(now, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+    return materialise(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
+
+
+def _may_link(least: float) -> Column:
+    """Whether lengths and parity bits of x and y allow ``least``: both bounds are exact."""
+    total = F.col("xn") + F.col("yn")
+    apart = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(PARITY)), F.lit(0))
+    fits = F.least("xn", "yn") >= least * F.greatest("xn", "yn") - 1e-9
+    return fits & (apart <= (1 - least) / (1 + least) * total + 1e-9)
+
+
+def _candidates(rows: DataFrame, labels: DataFrame | None, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of members of a bucket with its representatives, of different classes, that may link.
+
+    The first two rounds take the smallest node of a bucket; later ones deal the members into slots
+    anew and take one member of each, so a bucket has at most MOST_SLOTS representatives a round."""
+    known = rows.withColumn("comp", F.col("node"))
+    if labels is not None:
+        known = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dealt = F.xxhash64("node", "bucket", F.lit(turn))
+    slots = 1 if turn < 2 else min(MOST_SLOTS, 2 ** (turn - 1))
+    order = F.col("node") if turn < 2 else dealt
+    seen = known.groupBy("bucket", F.pmod(dealt, F.lit(slots)).alias("slot")).agg(
+        F.min(F.struct(order.alias("o"), "node", "comp", "n", "bits")).alias("y"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    seen = materialise(seen, "slots")
+    mixed = seen.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("bucket")
+    reps = materialise(seen.join(mixed, "bucket").select("bucket", *(F.col(f"y.{c}").alias(f"y{c}") for c in ("node", "comp", "n", "bits"))), "buckets")
+    x = known.select("bucket", *(F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "bits")))
+    on = (x["bucket"] == reps["bucket"]) & (F.col("xcomp") != F.col("ycomp")) & _may_link(least)
+    pairs = x.join(reps, on).select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
+    return pairs.distinct()
 
 
 def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(labels, links): node, comp of every node that has a link; a, b, similarity of the links found.
 
     The first round compares the members of buckets of FIRST sketches with one representative; the
-    later ones, over all sketches, only members that are not in its class yet, against the smallest
-    node and then against others, so near copies by the thousand cost few comparisons each."""
+    later ones, over all sketches, only members that are not in its class yet, so near copies by the
+    thousand cost few comparisons each.  Rounds go on until all sketches have had several
+    representatives and a round finds no link."""
     texts = df.select(node_of(F.col("text")).alias("node"), "text").where("node is not null")
     prints = materialise(_prints(texts), "prints").dropDuplicates(["node"])
-    rows = materialise(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")), "sketch-rows")
+    rows = materialise(prints.select("node", "n", "bits", F.posexplode("sketches").alias("sketch", "bucket")), "sketch-rows")
     shared = materialise(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"), "shared")
     rows = materialise(rows.join(shared, "bucket"), "members")
     involved = materialise(rows.select("node").distinct(), "involved")
     words = materialise(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
     first = (F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES)
-    tested, links, labels = None, None, None
-    for turn in range(1 + ROUNDS):
-        order = F.col("node") if turn < 2 else F.xxhash64("node", "bucket", F.lit(turn))
-        new = _candidates(rows.where(first).select("bucket", "node") if not turn else rows.select("bucket", "node"), labels, order)
+    tested, links, labels, turn = None, None, None, 0
+    while True:
+        new = _candidates(rows.where(first) if not turn else rows, labels, turn, least)
         if tested is not None:
-            new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+            new = new.join(tested, ["a", "b"], "left_anti")
+        new = materialise(new, "pairs")
         found = materialise(_verified(new, words, least), "verified")
         tested = new if tested is None else tested.unionByName(new)
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    return labels, links
+        if found.limit(1).count():
+            labels = merged(labels, found)
+        elif turn >= 3:
+            break
+        turn += 1
+    return components(links) if labels is None else labels, links
 
 
 def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
