@@ -30,9 +30,9 @@ SKETCHES, LENGTH = 32, 5
 #: Texts of at most so many shingles also get short sketches, as long ones then hold nearly all of them.
 FEW, FEW_SKETCHES, FEW_LENGTH = 20, 12, 2
 #: Sketches of the first round; representatives of a bucket double each round up to so many.
-FIRST, MOST_SLOTS = 8, 32
+FIRST, MOST_SLOTS = 8, 16
 #: 64-bit words of a text's parity bits.
-PARITY = 8
+PARITY = 16
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -187,27 +187,30 @@ def node_of(text: Column) -> Column:
 def _prints(nodes: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            words = [word_hashes(t.as_py()) for t in batch.column("text")]
-            sets = [labelled(shingles(w)) for w in words]
-            return {"node": batch.column("node"), "sketches": [sketches(s).view(np.int64) for s in sets], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets]}
+            return {"node": batch.column("node"), "sketches": [sketches(labelled(shingles(word_hashes(t.as_py())))).view(np.int64) for t in batch.column("text")]}
 
         return work
 
-    return by_batch(nodes, "node long, sketches array<long>, n int, bits array<long>", make)
+    return by_batch(nodes, "node long, sketches array<long>", make)
 
 
 def _word_arrays(texts: DataFrame) -> DataFrame:
+    """node, words, n, bits: a text's word hashes, how many shingles it has, and their parity bits."""
+
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"node": batch.column("node"), "words": [word_hashes(t.as_py()).astype(np.uint32).view(np.int32) for t in batch.column("text")]}
+            words = [word_hashes(t.as_py()) for t in batch.column("text")]
+            sets = [labelled(shingles(w)) for w in words]
+            return {"node": batch.column("node"), "words": [w.astype(np.uint32).view(np.int32) for w in words], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets]}
 
         return work
 
-    return by_batch(texts, "node long, words array<int>", make)
+    return by_batch(texts, "node long, words array<int>, n int, bits array<long>", make)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b, similarity of those pairs (a, b) that reach it."""
+    words = words.select("node", "words")
     left = pairs.join(words.withColumnsRenamed({"node": "a", "words": "wa"}), "a")
     both = left.join(words.withColumnsRenamed({"node": "b", "words": "wb"}), "b").select("a", "b", "wa", "wb")
     bound_batches(both.sparkSession)
@@ -260,27 +263,28 @@ def _may_link(least: float) -> Column:
     return fits & (apart <= (1 - least) / (1 + least) * total + 1e-9)
 
 
-def _candidates(rows: DataFrame, labels: DataFrame | None, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of members of a bucket with its representatives, of different classes, that may link.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``members`` (bucket, node and others) whose bucket still holds several classes."""
+    known = members.join(labels, "node", "left").select("bucket", F.coalesce("comp", "node").alias("comp"))
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return materialise(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+
 
-    The first two rounds take the smallest node of a bucket; later ones deal the members into slots
-    anew and take one member of each, so a bucket has at most MOST_SLOTS representatives a round."""
-    known = rows.withColumn("comp", F.col("node"))
-    if labels is not None:
-        known = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    dealt = F.xxhash64("node", "bucket", F.lit(turn))
+def _candidates(members: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of members (bucket, node) of a bucket with its representatives, of different
+    classes, that may link; ``nodes`` has node, comp, n and bits.
+
+    The first two rounds take the smallest node of a bucket; later ones deal the nodes into slots anew
+    and take one of each, in an order that differs by bucket: that of the node's bits with some flipped."""
     slots = 1 if turn < 2 else min(MOST_SLOTS, 2 ** (turn - 1))
-    order = F.col("node") if turn < 2 else dealt
-    seen = known.groupBy("bucket", F.pmod(dealt, F.lit(slots)).alias("slot")).agg(
-        F.min(F.struct(order.alias("o"), "node", "comp", "n", "bits")).alias("y"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    )
-    seen = materialise(seen, "slots")
-    mixed = seen.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("bucket")
-    reps = materialise(seen.join(mixed, "bucket").select("bucket", *(F.col(f"y.{c}").alias(f"y{c}") for c in ("node", "comp", "n", "bits"))), "buckets")
-    x = known.select("bucket", *(F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "bits")))
-    on = (x["bucket"] == reps["bucket"]) & (F.col("xcomp") != F.col("ycomp")) & _may_link(least)
-    pairs = x.join(reps, on).select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
-    return pairs.distinct()
+    flip = F.lit(0).cast("long") if turn < 2 else F.xxhash64("bucket", F.lit(turn))
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
+    first = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.col("node").bitwiseXOR(flip)).alias("o"))
+    first = first.select("bucket", F.col("o").bitwiseXOR(flip).alias("node"))
+    side = lambda of, c: of.join(nodes, "node").select("bucket", *(F.col(k).alias(c + k) for k in ("node", "comp", "n", "bits")))
+    x, y = side(members, "x"), materialise(side(first, "y"), "representatives")
+    on = (x["bucket"] == y["bucket"]) & (F.col("xcomp") != F.col("ycomp")) & _may_link(least)
+    return x.join(y, on).select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
 
 
 def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -292,15 +296,22 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     representatives and a round finds no link."""
     texts = df.select(node_of(F.col("text")).alias("node"), "text").where("node is not null")
     prints = materialise(_prints(texts), "prints").dropDuplicates(["node"])
-    rows = materialise(prints.select("node", "n", "bits", F.posexplode("sketches").alias("sketch", "bucket")), "sketch-rows")
-    shared = materialise(rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"), "shared")
-    rows = materialise(rows.join(shared, "bucket"), "members")
-    involved = materialise(rows.select("node").distinct(), "involved")
+    rows = materialise(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")).withColumn("sketch", F.col("sketch").cast("byte")), "sketch-rows")
+    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    members = materialise(rows.join(shared, "bucket", "left_semi"), "members")
+    involved = materialise(members.select("node").distinct(), "involved")
     words = materialise(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
-    first = (F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES)
+    traits = words.select("node", "n", "bits")
     tested, links, labels, turn = None, None, None, 0
     while True:
-        new = _candidates(rows.where(first) if not turn else rows, labels, turn, least)
+        if labels is None:
+            nodes, some = traits.withColumn("comp", F.col("node")), members
+        else:
+            nodes = traits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            some = members = _mixed(members, labels)
+        if not turn:
+            some = members.where((F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES))
+        new = _candidates(some, nodes, turn, least)
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
