@@ -67,7 +67,9 @@ def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, least:
     )
     columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     docs = df.select(*columns, F.xxhash64("doc_id", "text").alias("folio_key"))
-    docs = docs.join(materialise(gone, "gone").withColumnRenamed("key", "folio_key").withColumnRenamed("gone", "folio_gone"), "folio_key", "left")
+    # what goes grows with the documents, so it is not broadcast at any size
+    gone = materialise(gone, "gone").withColumnsRenamed({"key": "folio_key", "gone": "folio_gone"}).hint("merge")
+    docs = docs.join(gone, "folio_key", "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~(eligible(x, least) & F.array_contains("folio_gone", line_hash(x))))
     text = F.when(F.col("folio_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
