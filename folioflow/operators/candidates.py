@@ -15,10 +15,10 @@ def page_selection(specs: DataFrame) -> DataFrame:
     return specs.select("id", F.when(good, F.sort_array(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))))).alias("pages"))
 
 
-def candidate_union(layout: DataFrame, detections: DataFrame, least_lines: int = 20) -> DataFrame:
-    """page, sources: pages with a layout table, a detected table or many ruling lines, and who says so."""
+def candidate_union(layout: DataFrame, detections: DataFrame, least_lines: int = 20, least_tables: int = 1) -> DataFrame:
+    """page, sources: pages with a layout table, a detected table, a ruled grid or many ruling lines, and who says so."""
     vision = detections.where("coalesce(has_table, false) or coalesce(estimate, 0) > 0")
-    heuristic = detections.where((F.col("tables_found") > 5) | (F.col("lines_and_rects") >= least_lines))
+    heuristic = detections.where((F.col("tables_found") >= least_tables) | (F.col("lines_and_rects") >= least_lines))
     every = [layout.where("kind = 'table'").select("page", F.lit("layout").alias("src")), vision.select("page", F.lit("vision").alias("src")), heuristic.select("page", F.lit("heuristic").alias("src"))]
     union = every[0].unionByName(every[1]).unionByName(every[2])
     return union.groupBy("page").agg(F.array_join(F.sort_array(F.collect_set("src")), ",").alias("sources"))
@@ -42,12 +42,37 @@ def page_chains(pages: DataFrame, block: int = 4096) -> DataFrame:
     return own.join(carry, "blk", "left").select("page", F.coalesce("lead", "carry").alias("lead"))
 
 
-def ready_groups(detected: DataFrame, candidates: DataFrame) -> DataFrame:
-    """lead, pages, ready: chains of candidate pages; ready once the page after the chain is detected."""
+def ready_groups(detected: DataFrame, candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """lead, pages, ready: chains of candidate pages; ready once nothing unknown can lengthen them.
+
+    The page after the chain must be detected, or not selected at all; so must the page before, if the
+    lead may merge with it."""
     chains = page_chains(detected.join(candidates.select("page"), "page", "left_semi").select("page", "may_merge"))
     groups = chains.groupBy("lead").agg(F.count("*").alias("pages"), F.max("page").alias("last"))
-    after = detected.select((F.col("page") - 1).alias("last"), F.lit(True).alias("known"))
-    return groups.join(after, "last", "left").select("lead", "pages", F.coalesce("known", F.lit(False)).alias("ready"))
+    unknown = selected.select("page").join(detected.select("page"), "page", "left_anti")
+    after = unknown.select((F.col("page") - 1).alias("last"), F.lit(True).alias("open_after"))
+    before = unknown.select((F.col("page") + 1).alias("lead"), F.lit(True).alias("open_before"))
+    merges = detected.select(F.col("page").alias("lead"), "may_merge")
+    out = groups.join(merges, "lead").join(after, "last", "left").join(before, "lead", "left")
+    waits = F.coalesce("open_after", F.lit(False)) | (F.col("may_merge") & F.coalesce("open_before", F.lit(False)))
+    return out.select("lead", "pages", (~waits).alias("ready"))
+
+
+def accepted_chains(jobs: DataFrame) -> DataFrame:
+    """doc, lead, page: chains of pages that were accepted as continuations, their leads included.
+
+    An accepted page goes on with the chain of the page before if that page was accepted too, is
+    adjacent and the merge was hinted; else it opens a chain led by the job before, adjacent or not.
+    Without a job before it there is nothing to continue, so it gives no row."""
+    order = Window.partitionBy("doc").orderBy("page")
+    marked = jobs.select(
+        "doc", "page", "accepted", F.lag("page").over(order).alias("prev"),
+        (F.coalesce("hinted", F.lit(False)) & F.coalesce(F.lag("accepted").over(order), F.lit(False)) & (F.lag("page").over(order) == F.col("page") - 1)).alias("goes_on"),
+    )
+    opened = F.when(F.col("accepted") & ~F.coalesce("goes_on", F.lit(False)), F.col("prev"))
+    led = marked.withColumn("lead", F.last(opened, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = led.where("accepted and lead is not null")
+    return found.select("doc", "lead", "page").unionByName(found.select("doc", "lead", F.col("lead").alias("page")).distinct())
 
 
 def batches(pages: DataFrame, size: int = 8) -> DataFrame:

@@ -167,7 +167,7 @@ def page_selection(spark, sf):
 
 
 _CANDIDATES = """union_ as (select page, 'layout' as src from blocks where kind = 'table' union all select page, 'vision' from detections where has_table or estimate > 0
-  union all select page, 'heuristic' from detections where tables_found > 5 or lines_and_rects >= 20),
+  union all select page, 'heuristic' from detections where tables_found > 0 or lines_and_rects >= 20),
 candidate as (select page, array_to_string(list_sort(list(distinct src)), ',') as sources from union_ group by page)"""
 _CHAINS = """{0} as (select page, max(case when starts then page end) over (order by page rows between unbounded preceding and current row) as lead
   from (select page, not (may_merge and coalesce(lag(page) over (order by page) = page - 1, false)) as starts from {1}))"""
@@ -185,13 +185,28 @@ def page_chains(spark, sf):
 
 _READY = "known as (select * from detections where page % 11 <> 5), " + _CANDIDATES.replace("from detections", "from known") + ",\npicked as (select k.* from known k semi join candidate c on c.page = k.page)," + _CHAINS.format("chains", "picked") + """,
 groups as (select lead, count(*) as pages, max(page) as last from chains group by lead),
-ready as (select lead, pages, k.page is not null as ready from groups g left join known k on k.page = g.last + 1)"""
+ready as (select g.lead, g.pages, (a.page is null or b.page is not null) and not (l.may_merge and p.page is not null and q.page is null) as ready
+  from groups g join known l on l.page = g.lead left join detections a on a.page = g.last + 1 left join known b on b.page = g.last + 1
+  left join detections p on p.page = g.lead - 1 left join known q on q.page = g.lead - 1)"""
 
 
 @query(sql_of("blocks", "detections") + "," + _READY + " select * from ready")
 def ready_groups(spark, sf):
-    known = view(spark, sf, "detections").where("page % 11 <> 5")
-    return candidates.ready_groups(known, candidates.candidate_union(view(spark, sf, "blocks"), known))
+    selected = view(spark, sf, "detections")
+    known = selected.where("page % 11 <> 5")
+    return candidates.ready_groups(known, candidates.candidate_union(view(spark, sf, "blocks"), known), selected)
+
+
+@query(sql_of("detections") + """,
+j as (select page // 100 as doc, page, may_merge as hinted, estimate = 1 and page % 5 <> 2 as accepted from detections where page % 7 <> 3),
+l as (select *, lag(page) over w as prev, lag(accepted) over w as before from j window w as (partition by doc order by page)),
+o as (select *, last_value(case when accepted and not coalesce(hinted and before and prev = page - 1, false) then prev end ignore nulls) over (partition by doc order by page rows between unbounded preceding and current row) as lead from l),
+f as (select doc, lead, page from o where accepted and lead is not null)
+select * from f union all select distinct doc, lead, lead from f""")
+def accepted_chains(spark, sf):
+    pages = view(spark, sf, "detections").where("page % 7 <> 3")
+    doc = F.floor(F.col("page") / 100).cast("long").alias("doc")
+    return candidates.accepted_chains(pages.select(doc, "page", F.col("may_merge").alias("hinted"), ((F.col("estimate") == 1) & (F.col("page") % 5 != 2)).alias("accepted")))
 
 
 @query(sql_of("blocks", "detections") + "," + _READY + " select lead, pages, case when ready and pages > 1 then 0 when pages = 2 then 1 else 2 end as category from ready")
@@ -211,7 +226,7 @@ def contact_batches(spark, sf):
 e as (select *, case when seq % 3 = 0 then tokens::bigint else 0 end as c from agent_events)
 select stage, job, count(*) as n, sum(tokens::bigint)::bigint as tokens, sum(c)::bigint as cached, case when sum(tokens::bigint) > 0 then sum(c)::double / sum(tokens::bigint)::double else 0.0 end as ratio from e group by rollup(stage, job)""")
 def usage_rollup(spark, sf):
-    return usage.usage_rollup(view(spark, sf, "agent_events"))
+    return usage.usage_rollup(view(spark, sf, "agent_events").withColumn("cached", F.when(F.col("seq") % 3 == 0, F.col("tokens")).otherwise(0)))
 
 
 @query("select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'assistant' and trim(text) <> '') where n = 1")
