@@ -1,0 +1,56 @@
+"""Images that a model saw on a page, matched with the pictures of the layout."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .matching import LEAST_OVERLAP
+
+MATCHED = "image int, action string, picture string, score double"
+
+
+def candidate_pages(detections: DataFrame, pictures: DataFrame) -> DataFrame:
+    """page: pages where an image was detected or the layout has a picture."""
+    seen = detections.where("coalesce(has_image, false) or coalesce(image_count_estimate, 0) > 0")
+    return seen.select("page").unionByName(pictures.select("page")).distinct()
+
+
+def match_images(seen: DataFrame, pictures: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
+    """page, image, action, picture, score: what becomes of each seen image, and of pictures merged into one.
+
+    ``seen``: page, image, x0, top, x1, bottom, ids (pictures it names); ``pictures``: page, picture and
+    a box, in order of ``ord``.  In order of ``image``: exactly one free picture named takes the image
+    ("matched"); several are "merged" into a new image; else the free picture of largest overlap, from
+    ``least`` on, takes it; else the image is "new".  A picture is taken once.  Claims depend on order, so
+    a page's handful of boxes is one group; pages never meet."""
+
+    def page_of(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord")
+        boxes, free, out = b[["x0", "top", "x1", "bottom"]].to_numpy(float), dict.fromkeys(b.picture), []
+        area = ((boxes[:, 2] - boxes[:, 0]).clip(0)) * ((boxes[:, 3] - boxes[:, 1]).clip(0))
+        for x in a.sort_values("image").itertuples():
+            named = [i for i in dict.fromkeys(x.ids if x.ids is not None else []) if i in free]
+            wide = (boxes[:, 2].clip(max=x.x1) - boxes[:, 0].clip(min=x.x0)).clip(0)
+            high = (boxes[:, 3].clip(max=x.bottom) - boxes[:, 1].clip(min=x.top)).clip(0)
+            least_area = area.clip(max=max(0.0, x.x1 - x.x0) * max(0.0, x.bottom - x.top))
+            scores = dict(zip(b.picture, (wide * high / pd.Series(least_area).replace(0, float("inf")).to_numpy())))
+            best = max(free, key=scores.get, default=None)
+            if len(named) > 1:
+                out += [(key[0], x.image, "merged", i, scores[i]) for i in named] + [(key[0], x.image, "new", None, 0.0)]
+                taken = named
+            elif named or (best is not None and scores[best] >= least):
+                taken = named or [best]
+                out.append((key[0], x.image, "matched", taken[0], scores[taken[0]]))
+            else:
+                taken = []
+                out.append((key[0], x.image, "new", None, scores.get(best, 0.0)))
+            for i in taken:
+                del free[i]
+        return pd.DataFrame(out, columns=["page", "image", "action", "picture", "score"])
+
+    kind = seen.schema["page"].dataType.simpleString()
+    left = seen.select("page", "image", "x0", "top", "x1", "bottom", "ids")
+    right = pictures.select(F.col("page").cast(kind).alias("page"), "picture", "ord", "x0", "top", "x1", "bottom")
+    return left.groupBy("page").cogroup(right.groupBy("page")).applyInPandas(page_of, f"page {kind}, {MATCHED}")

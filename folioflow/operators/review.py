@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grid
+
 
 def cell_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """tab, changed: positions where two versions of a grid differ; a missing cell counts as empty."""
@@ -54,3 +56,35 @@ def transition_pages(tables: DataFrame, tolerance: float = 3.0) -> DataFrame:
     spans = tables.where("more > 0").select((F.col("page") + F.col("more")).alias("page"), F.col("id").alias("span"), F.col("bottom").alias("edge"))
     meet = spans.join(tables.select("page", "id", "top"), "page").where((F.col("top") >= F.col("edge") - tolerance) & (F.col("id") != F.col("span")))
     return meet.groupBy("page", F.col("span").alias("id")).agg(F.count("*").alias("below"))
+
+
+def effective_rows(tables: DataFrame, drafts: DataFrame) -> DataFrame:
+    """``tables`` (doc, id, ai_rows, ..) with rows and status: a draft's rows, or ai_rows where it has none."""
+    d = drafts.select("doc", F.col("tab").alias("id"), F.col("rows").alias("drafted"), F.coalesce("status", F.lit("unreviewed")).alias("status"))
+    rows = F.when(F.size("drafted") > 0, F.col("drafted")).otherwise(F.col("ai_rows"))
+    out = tables.join(d, ["doc", "id"], "left").withColumn("rows", rows).drop("drafted")
+    return out.withColumn("status", F.coalesce("status", F.lit("unreviewed")))
+
+
+def publish(outputs: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc, markdown, problem, published, ignored: outputs with every table's block rewritten from its rows.
+
+    ``outputs``: doc, markdown; ``tables``: what effective_rows gives, with page, name, header_rows.  Each
+    old block must stand in the output exactly once, as written or with line breaks in cells flattened,
+    and the new rows must not be empty; else ``problem`` names the first such table and the document
+    stays as it was.  All tables are published, whatever their status.  A document is folded in one row."""
+    marker = F.format_string("<!-- table:%s page:%s -->\n\n", F.col("id").cast("string"), F.col("page").cast("string"))
+    flat = F.transform("ai_rows", lambda r: F.transform(r, lambda v: F.regexp_replace(v, r"\s*[\r\n]+\s*", " ")))
+    block = lambda rows: F.concat(marker, grid.markdown(rows, F.col("header_rows"), F.col("name")))
+    part = F.struct(F.col("id").cast("string").alias("id"), block(F.col("ai_rows")).alias("old"), block(flat).alias("flat"), block(F.col("rows")).alias("new"), (F.size("rows") > 0).alias("filled"))
+    parts = tables.groupBy("doc").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count("*").alias("n"), F.count_if(F.col("status") == "ignored").alias("ignored"))
+    pick = "if(contains(acc.text, t.old), t.old, t.flat)"
+    fits = f"(t.filled and length(acc.text) - length(replace(acc.text, {pick}, '')) = length({pick}))"
+    fold = F.expr(f"""
+        aggregate(coalesce(parts, array()), named_struct('text', markdown, 'problem', cast(null as string)), (acc, t) ->
+          named_struct('text', if({fits}, replace(acc.text, {pick}, t.new), acc.text),
+                       'problem', coalesce(acc.problem, if({fits}, cast(null as string), t.id))))""")
+    done = outputs.select("doc", "markdown").join(parts, "doc", "left").withColumn("done", fold)
+    good = F.col("done.problem").isNull()
+    count = lambda c: F.when(good, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    return done.select("doc", F.when(good, F.col("done.text")).otherwise(F.col("markdown")).alias("markdown"), "done.problem", count("n").alias("published"), count("ignored").alias("ignored"))

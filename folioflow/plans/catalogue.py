@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import grid, text
-from ..operators import candidates, matching, memo, merge, review, usage, validate
+from ..operators import audit, candidates, images, matching, memo, merge, replies, review, usage, validate
 from ..sources.adapters import sql_of, view
 
 FLAGSHIP = "insertion_slot"
@@ -357,3 +357,30 @@ def completed_reason(spark, sf):
     c = F.col("o_custkey")
     runs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderstatus") == "O", "completed").alias("status"), (c % 4 != 0).alias("valid"), F.when(c % 5 != 0, c).alias("stored"), F.when(c % 6 == 0, -1).otherwise(c).alias("actual"), (c % 7).alias("size"))
     return memo.completed_reason(runs)
+
+
+@query(_CELLS.replace("with ", "with recursive ", 1) + """,
+k as (select tab, r, c, trim(value) as v from cells where trim(value) <> ''),
+e as (select a.tab, a.r, a.c, b.r as r2, b.c as c2 from k a join k b on a.tab = b.tab and a.v = b.v and abs(a.r - b.r) + abs(a.c - b.c) = 1),
+reach(tab, r, c, r2, c2) as (select * from e union select x.tab, x.r, x.c, e.r2, e.c2 from reach x join e on e.tab = x.tab and e.r = x.r2 and e.c = x.c2),
+root as (select tab, r, c, min(r2 * 10 + c2) as root from reach group by tab, r, c)
+select tab, r, c, ((dense_rank() over (partition by tab order by root) - 1) % 4)::int as tone from root""")
+def repeated_cells(spark, sf):
+    return audit.repeated_cells(view(spark, sf, "cells"))
+
+
+@query(_BOTH + "," + _GREEDY.replace("kind = 'table'", "kind = 'picture'") + """
+select page, k as image, case when ord is null then 'new' else 'matched' end as action, ord::varchar as picture, score from greedy""")
+def image_match(spark, sf):
+    seen = view(spark, sf, "agent_tables").withColumn("image", F.col("k")).withColumn("ids", F.array().cast("array<string>"))
+    pictures = view(spark, sf, "blocks").where("kind = 'picture'").withColumn("picture", F.col("ord").cast("string"))
+    return images.match_images(seen, pictures)
+
+
+@query("""
+select o_orderkey as id, case when o_custkey % 3 = 1 then '[[' || o_orderkey || ',' || (o_orderkey + 1) || '],[' || (o_orderkey + 2) || ']]' end as groups from orders""")
+def planner_groups(spark, sf):
+    p, c = F.col("o_orderkey").cast("int"), F.col("o_custkey")
+    text = F.format_string('So: {"groups": [[%d, %d], [%d]]} as asked', p, p + 1, p + 1 + (c % 3).cast("int"))
+    asked = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array(p, p + 1, p + 2).alias("pages"), text.alias("text"))
+    return replies.merge_groups(asked).select("id", F.to_json("groups").alias("groups"))
