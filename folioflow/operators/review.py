@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
 
+# Older names of review decisions.
+LEGACY = {"accepted_ai": "approved", "accepted_docling": "approved", "edited": "approved", "needs_review": "unreviewed", "skipped": "ignored"}
+
+
+def review_status(status: Column) -> Column:
+    """Today's name of a decision; none is unreviewed."""
+    names = F.create_map(*(F.lit(x) for pair in LEGACY.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, status), F.nullif(status, F.lit("")), F.lit("unreviewed"))
+
 
 def cell_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """tab, changed: positions where two versions of a grid differ; a missing cell counts as empty."""
@@ -60,7 +69,7 @@ def transition_pages(tables: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 def effective_rows(tables: DataFrame, drafts: DataFrame) -> DataFrame:
     """``tables`` (doc, id, ai_rows, ..) with rows and status: a draft's rows, or ai_rows where it has none."""
-    d = drafts.select("doc", F.col("tab").alias("id"), F.col("rows").alias("drafted"), F.coalesce("status", F.lit("unreviewed")).alias("status"))
+    d = drafts.select("doc", F.col("tab").alias("id"), F.col("rows").alias("drafted"), review_status(F.col("status")).alias("status"))
     rows = F.when(F.size("drafted") > 0, F.col("drafted")).otherwise(F.col("ai_rows"))
     out = tables.join(d, ["doc", "id"], "left").withColumn("rows", rows).drop("drafted")
     return out.withColumn("status", F.coalesce("status", F.lit("unreviewed")))

@@ -12,7 +12,7 @@ def test_publish(spark):
         [(1, "t1", 1, None, 1, [["a"], ["x"]]), (1, "t2", 1, None, 1, [["a"], ["y\nz"]]), (2, "t1", 1, None, 1, [["a"], ["x"]]), (3, "t1", 1, None, 1, [["a"], ["x"]])],
         f"doc int, id string, page int, name string, header_rows int, ai_rows {ROWS}",
     )
-    drafts = spark.createDataFrame([(1, "t1", [["a"], ["new"]], "approved"), (1, "t2", [], "ignored"), (2, "t1", [["a"], ["n"]], None)], f"doc int, tab string, rows {ROWS}, status string")
+    drafts = spark.createDataFrame([(1, "t1", [["a"], ["new"]], "approved"), (1, "t2", [], "skipped"), (2, "t1", [["a"], ["n"]], None)], f"doc int, tab string, rows {ROWS}, status string")
     x, flat = OLD.format("t1", "x"), OLD.format("t2", "y z")
     outputs = spark.createDataFrame([(1, f"A\n{x}\nB\n{flat}"), (2, x + x), (3, "none"), (4, "no tables")], "doc int, markdown string")
     got = {r.doc: tuple(r)[1:] for r in review.publish(outputs, review.effective_rows(tables, drafts)).collect()}
