@@ -9,7 +9,8 @@ similarity of the labelled shingles, counting only what an order-preserving alig
 
 Texts with equal words are one node from the start.  Links unite nodes to classes; buckets that
 still hold several classes are compared again, with other and more representatives, until a round
-finds no link.  A pair is aligned only if its lengths and its parity bits allow the similarity: a
+finds no link.  Then every pair of different classes that is left in a bucket is compared, so rounds
+only save comparisons.  A pair is aligned only if its lengths and its parity bits allow the similarity: a
 shingle that only one of two texts has flips one bit, so the bits that differ never outnumber the
 shingles that do, and what this leaves out is surely below the threshold.
 """
@@ -31,6 +32,8 @@ SKETCHES, LENGTH = 32, 5
 FEW, FEW_SKETCHES, FEW_LENGTH = 20, 12, 2
 #: Sketches of the first round; representatives of a bucket double each round up to so many.
 FIRST, MOST_SLOTS = 8, 16
+#: Members of a bucket that one cell of the last pass holds; larger buckets are dealt by length and hash.
+CELL = 512
 #: 64-bit words of a text's parity bits.
 PARITY = 16
 
@@ -287,13 +290,34 @@ def _candidates(members: DataFrame, nodes: DataFrame, turn: int, least: float) -
     return x.join(y, on).select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
 
 
+def _rest(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of members (bucket, node) of a bucket, of different classes, that may link.
+
+    A bucket of more than CELL members is dealt into bands of length, so wide that a pair that may
+    link is in one band or in two that follow each other, and these by hash into cells."""
+    salts = F.ceil(F.col("size") / CELL)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).select("bucket", salts.cast("int").alias("salts"))
+    band = F.when(F.col("salts") > 1, F.floor(F.log("n") / (1.01 * np.log(1 / least)))).otherwise(0).cast("int")
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    dealt = members.select("bucket", "node").join(sizes, "bucket").join(nodes, "node")
+    dealt = materialise(dealt.select("bucket", "node", "comp", "n", "bits", "salts", band.alias("band"), salt.alias("salt")), "dealt")
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    bands = F.explode(F.when(F.col("salts") > 1, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))
+    named = lambda c: [F.col(k).alias(c + k) for k in ("node", "comp", "n", "bits")]
+    x = dealt.select("bucket", "band", F.col("salt").alias("i"), every.alias("j"), *named("x"))
+    y = dealt.select("*", every.alias("i")).select("bucket", "i", F.col("salt").alias("j"), *named("y"), bands.alias("band"))
+    before = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
+    both = x.join(y, ["bucket", "band", "i", "j"]).where((F.col("xcomp") != F.col("ycomp")) & before & _may_link(least))
+    return both.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
+
+
 def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(labels, links): node, comp of every node that has a link; a, b, similarity of the links found.
 
     The first round compares the members of buckets of FIRST sketches with one representative; the
     later ones, over all sketches, only members that are not in its class yet, so near copies by the
     thousand cost few comparisons each.  Rounds go on until all sketches have had several
-    representatives and a round finds no link."""
+    representatives and a round finds no link; the last pass compares all that is left in mixed buckets."""
     texts = df.select(node_of(F.col("text")).alias("node"), "text").where("node is not null")
     prints = materialise(_prints(texts), "prints").dropDuplicates(["node"])
     rows = materialise(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")).withColumn("sketch", F.col("sketch").cast("byte")), "sketch-rows")
@@ -302,7 +326,7 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     involved = materialise(members.select("node").distinct(), "involved")
     words = materialise(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
     traits = words.select("node", "n", "bits")
-    tested, links, labels, turn = None, None, None, 0
+    tested, links, labels, turn, last = None, None, None, 0, False
     while True:
         if labels is None:
             nodes, some = traits.withColumn("comp", F.col("node")), members
@@ -311,17 +335,19 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
             some = members = _mixed(members, labels)
         if not turn:
             some = members.where((F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES))
-        new = _candidates(some, nodes, turn, least)
+        new = _rest(some, nodes, least) if last else _candidates(some, nodes, turn, least)
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
         found = materialise(_verified(new, words, least), "verified")
         tested = new if tested is None else tested.unionByName(new)
         links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
+        some_found = found.limit(1).count() > 0
+        if some_found:
             labels = merged(labels, found)
-        elif turn >= 3:
+        if last:
             break
+        last = turn >= 3 and not some_found
         turn += 1
     return components(links) if labels is None else labels, links
 

@@ -133,6 +133,50 @@ def test_near_duplicates(spark, odd):
     assert neardup.near_duplicates(near.limit(0)).count() == 0
 
 
+def passage_texts(n, pairs, hot, seed=4):
+    """doc_id -> text: ``n`` texts share a long passage, ``pairs`` of them have a near copy, one has ``hot`` near copies."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"x{rng.getrandbits(40)}" for _ in range(k)]
+    passage = fresh(304)
+    texts = [passage + fresh(44) for _ in range(n)]
+    texts += [t[:-34] + fresh(34) for t in texts[:pairs]] + [texts[-1][:-1] + fresh(1) for _ in range(hot)]
+    rng.shuffle(texts)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def brute_classes(texts):
+    """doc_id -> smallest doc_id of its class, from the similarity of every pair."""
+    arrays = {i: neardup.word_hashes(t) for i, t in texts.items()}
+    sets = {i: neardup.labelled(neardup.shingles(a)) for i, a in arrays.items()}
+    top = {i: i for i in texts}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(i for i in texts if len(sets[i]))
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            x, y = sets[i], sets[j]
+            if min(len(x), len(y)) < 0.8 * max(len(x), len(y)) or root(i) == root(j):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= 0.8 * (len(x) + len(y) - both) - 1e-9 and neardup.similarity(arrays[i], arrays[j]) >= 0.8 - 1e-9:
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in texts}
+
+
+def test_near_duplicates_in_hot_buckets_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 100, raising=False)  # so that buckets are dealt into bands and cells
+    texts = passage_texts(500, 40, 120)
+    texts[1000] = " ".join(f"long{i}" for i in range(60_000))
+    texts[1001] = texts[1000] + " tail"
+    want = brute_classes(texts)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and Counter(Counter(want.values()).values())[2] >= 40
+
+
 def test_lines_and_mix_on_odd_rows(spark, odd):
     rows = [(i, f"shared line of five words\nown text of document {i}", f"s{i}", "en", 1) for i in range(12)]
     df = odd.unionByName(spark.createDataFrame([(i + 100, *r) for i, *r in rows], odd.schema))
