@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without cross-site boilerplate lines."""
-    clean = linededup.dedup_lines(docs)
+    """The same documents without cross-site boilerplate lines, of any number of words."""
+    clean = linededup.dedup_lines(docs, least=1)
     return clean.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 

@@ -190,6 +190,12 @@ def test_lines_and_mix_on_odd_rows(spark, odd):
     assert targets == [60.0, 30.0, 30.0]
 
 
+def test_line_stage_takes_short_lines(spark):
+    rows = [(i, f"All rights reserved.\nOk\n\nown text {i}", f"s{i}") for i in range(12)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: rows[0][1] if not i else f"\nown text {i}" for i in range(12)}
+
+
 def test_search_ties_nulls_and_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.integers(-3, 4, 6) / 2]) for i in range(300)] + [(500, [None] * 6), (550, None), (600, [float("nan")] * 6), (650, [float("inf")] * 6)]
