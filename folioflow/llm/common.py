@@ -23,24 +23,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A local session without one gets a folder of its own; on a cluster a machine's own folder would
+    lose rows silently, so there an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/folioflow-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back.
+class Scratch:
+    """Tables that an operator writes between its steps.
+
+    Writing cuts lineage, so that a lost executor costs one stage, gives the optimiser real sizes, and
+    lets adaptive execution split skewed joins on what was an aggregate.  ``discard`` deletes what
+    was written, but for the frames that a lazy result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/folioflow/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
 
-    Cuts lineage so that a lost executor costs one stage, gives the optimiser real sizes, and lets
-    adaptive execution split skewed joins on what was an aggregate.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def discard(self, *keep: DataFrame) -> None:
+        held = {id(df) for df in keep}
+        for path in [p for p, df in self.paths.items() if id(df) not in held]:
+            remove(self.spark, path)
+            del self.paths[path]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that Spark writes with."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` under the shared folder and reads it back; for tables that a result reads."""
+    return Scratch(df.sparkSession).write(df, label)
 
 
 def word_count(text: Column) -> Column:
@@ -48,26 +76,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and, but for single rows, about BATCH_BYTES; Spark itself bounds
+    the batches that workers get by bytes."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            rows = BATCH_ROWS
+            while rows > 1 and batch.slice(at, rows).nbytes > BATCH_BYTES:
+                rows //= 2
+            yield batch.slice(at, rows)
+            at += rows
 
 
 def by_batch(
     df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 ) -> DataFrame:
     """Maps record batches to dicts of columns; ``make`` runs once in each Python worker task."""
-    spark = df.sparkSession
-    bound_batches(spark)
     out = spark_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, names = None, [f.name for f in out.fields]
         arrow = to_arrow(out)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             work = work or make()
             columns = work(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[n], arrow.field(n).type) for n in names], schema=arrow)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_batch, materialise
+from .common import Scratch, by_batch, pieces
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, LENGTH = 32, 5
@@ -216,10 +216,9 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     words = words.select("node", "words")
     left = pairs.join(words.withColumnsRenamed({"node": "a", "words": "wa"}), "a")
     both = left.join(words.withColumnsRenamed({"node": "b", "words": "wb"}), "b").select("a", "b", "wa", "wb")
-    bound_batches(both.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             a, b, wa, wb = (batch.column(n) for n in ("a", "b", "wa", "wb"))
             keep = [similarity(x.values.to_numpy().view(np.uint32).astype(np.uint64), y.values.to_numpy().view(np.uint32).astype(np.uint64), least) for x, y in zip(wa, wb)]
             ok = pa.array([k >= least - 1e-9 for k in keep], pa.bool_())
@@ -228,34 +227,34 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp: for each node of ``edges`` (a, b) the smallest node of its connected component.
 
     Each pass takes the smallest label among neighbours and then that label's own label, so labels
     travel twice as far each time; hubs are summed by partial aggregation."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    both = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    labels = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        near = materialise(seen.join(labels, F.col("a") == F.col("node")).select("node", F.col("comp").alias("old"), F.least("m", "comp").alias("comp")), "labels")
+        near = scratch.write(seen.join(labels, F.col("a") == F.col("node")).select("node", F.col("comp").alias("old"), F.least("m", "comp").alias("comp")), "labels")
         jump = near.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        labels = materialise(near.join(jump, "comp", "left").select("node", "old", F.coalesce("next", "comp").alias("comp")), "labels")
+        labels = scratch.write(near.join(jump, "comp", "left").select("node", "old", F.coalesce("next", "comp").alias("comp")), "labels")
         moved = labels.where("old <> comp").limit(1).count()
         labels = labels.select("node", "comp")
         if not moved:
             return labels
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` (node, comp) after new links (a, b) between their classes or to nodes without one."""
     if labels is None:
-        return components(links)
+        return components(links, scratch)
     known = lambda end: labels.withColumnsRenamed({"node": end, "comp": f"c{end}"})
     ends = links.select("a", "b").join(known("a"), "a", "left").join(known("b"), "b", "left")
-    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
     now = joined.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
     moved = labels.join(now, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
-    return materialise(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
+    return scratch.write(moved.unionByName(joined.join(labels, "node", "left_anti")), "labels")
 
 
 def _may_link(least: float) -> Column:
@@ -266,14 +265,15 @@ def _may_link(least: float) -> Column:
     return fits & (apart <= (1 - least) / (1 + least) * total + 1e-9)
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``members`` (bucket, node and others) whose bucket still holds several classes."""
     known = members.join(labels, "node", "left").select("bucket", F.coalesce("comp", "node").alias("comp"))
     mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return materialise(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+    mixed = scratch.write(mixed.select("bucket"), "mixed")  # so that its size is known before members meet it
+    return scratch.write(members.join(mixed, "bucket", "left_semi"), "members")
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, turn: int, least: float) -> DataFrame:
+def _candidates(members: DataFrame, nodes: DataFrame, turn: int, least: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of members (bucket, node) of a bucket with its representatives, of different
     classes, that may link; ``nodes`` has node, comp, n and bits.
 
@@ -285,22 +285,23 @@ def _candidates(members: DataFrame, nodes: DataFrame, turn: int, least: float) -
     first = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.col("node").bitwiseXOR(flip)).alias("o"))
     first = first.select("bucket", F.col("o").bitwiseXOR(flip).alias("node"))
     side = lambda of, c: of.join(nodes, "node").select("bucket", *(F.col(k).alias(c + k) for k in ("node", "comp", "n", "bits")))
-    x, y = side(members, "x"), materialise(side(first, "y"), "representatives")
+    x, y = side(members, "x"), scratch.write(side(first, "y"), "representatives")
     on = (x["bucket"] == y["bucket"]) & (F.col("xcomp") != F.col("ycomp")) & _may_link(least)
     return x.join(y, on).select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _rest(members: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of members (bucket, node) of a bucket, of different classes, that may link.
 
     A bucket of more than CELL members is dealt into bands of length, so wide that a pair that may
     link is in one band or in two that follow each other, and these by hash into cells."""
     salts = F.ceil(F.col("size") / CELL)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).select("bucket", salts.cast("int").alias("salts"))
+    sizes = scratch.write(sizes, "bucket-sizes")
     band = F.when(F.col("salts") > 1, F.floor(F.log("n") / (1.01 * np.log(1 / least)))).otherwise(0).cast("int")
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
     dealt = members.select("bucket", "node").join(sizes, "bucket").join(nodes, "node")
-    dealt = materialise(dealt.select("bucket", "node", "comp", "n", "bits", "salts", band.alias("band"), salt.alias("salt")), "dealt")
+    dealt = scratch.write(dealt.select("bucket", "node", "comp", "n", "bits", "salts", band.alias("band"), salt.alias("salt")), "dealt")
     every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     bands = F.explode(F.when(F.col("salts") > 1, F.array("band", F.col("band") - 1)).otherwise(F.array("band")))
     named = lambda c: [F.col(k).alias(c + k) for k in ("node", "comp", "n", "bits")]
@@ -311,7 +312,7 @@ def _rest(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
 
 
-def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(labels, links): node, comp of every node that has a link; a, b, similarity of the links found.
 
     The first round compares the members of buckets of FIRST sketches with one representative; the
@@ -319,12 +320,12 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     thousand cost few comparisons each.  Rounds go on until all sketches have had several
     representatives and a round finds no link; the last pass compares all that is left in mixed buckets."""
     texts = df.select(node_of(F.col("text")).alias("node"), "text").where("node is not null")
-    prints = materialise(_prints(texts), "prints").dropDuplicates(["node"])
-    rows = materialise(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")).withColumn("sketch", F.col("sketch").cast("byte")), "sketch-rows")
-    shared = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    members = materialise(rows.join(shared, "bucket", "left_semi"), "members")
-    involved = materialise(members.select("node").distinct(), "involved")
-    words = materialise(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
+    prints = scratch.write(_prints(texts), "prints").dropDuplicates(["node"])
+    rows = scratch.write(prints.select("node", F.posexplode("sketches").alias("sketch", "bucket")).withColumn("sketch", F.col("sketch").cast("byte")), "sketch-rows")
+    shared = scratch.write(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    members = scratch.write(rows.join(shared, "bucket", "left_semi"), "members")
+    involved = scratch.write(members.select("node").distinct(), "involved")
+    words = scratch.write(_word_arrays(texts.join(involved, "node")).dropDuplicates(["node"]), "words")
     traits = words.select("node", "n", "bits")
     tested, links, labels, turn, last = None, None, None, 0, False
     while True:
@@ -332,24 +333,24 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
             nodes, some = traits.withColumn("comp", F.col("node")), members
         else:
             nodes = traits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            some = members = _mixed(members, labels)
+            some = members = _mixed(members, labels, scratch)
         if not turn:
             some = members.where((F.col("sketch") < FIRST) | (F.col("sketch") >= SKETCHES))
-        new = _rest(some, nodes, least) if last else _candidates(some, nodes, turn, least)
+        new = _rest(some, nodes, least, scratch) if last else _candidates(some, nodes, turn, least, scratch)
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        found = materialise(_verified(new, words, least), "verified")
+        new = scratch.write(new, "pairs")
+        found = scratch.write(_verified(new, words, least), "verified")
         tested = new if tested is None else tested.unionByName(new)
         links = found if links is None else links.unionByName(found)
         some_found = found.limit(1).count() > 0
         if some_found:
-            labels = merged(labels, found)
+            labels = merged(labels, found, scratch)
         if last:
             break
         last = turn >= 3 and not some_found
         turn += 1
-    return components(links) if labels is None else labels, links
+    return components(links, scratch) if labels is None else labels, links
 
 
 def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -362,13 +363,15 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     all of it are null.  An empty table gives no rows; other columns are left out.  Two different texts
     get one 64-bit node by chance with probability about n^2 / 2^65.
     """
-    labels, links = classes(df, least)
-    docs = materialise(df.select(F.col("doc_id").cast("long"), node_of(F.col("text")).alias("node")), "nodes")
+    scratch = Scratch(df.sparkSession)
+    labels, links = classes(df, scratch, least)
+    docs = scratch.write(df.select(F.col("doc_id").cast("long"), node_of(F.col("text")).alias("node")), "nodes")
     named = docs.join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    named = materialise(named, "named")
-    sizes = materialise(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    named = scratch.write(named, "named")
+    sizes = scratch.write(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = materialise(ends.groupBy("node").agg(F.count("*").alias("links")), "degrees")
+    degree = scratch.write(ends.groupBy("node").agg(F.count("*").alias("links")), "degrees")
+    scratch.discard(named, sizes, degree)
     out = named.join(sizes, "comp", "left").join(degree, "node", "left")
     none = F.col("comp").isNull()
     return out.select(
@@ -380,11 +383,13 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def one_of_each(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` (doc_id, text and any others) without near duplicates: of each class the row
     with the smallest doc_id stays, one row if it repeats; rows without words all stay."""
-    labels, _ = classes(df, least)
-    docs = materialise(df.select("doc_id", node_of(F.col("text")).alias("node")).where("node is not null"), "nodes")
+    scratch = Scratch(df.sparkSession)
+    labels, _ = classes(df, scratch, least)
+    docs = scratch.write(df.select("doc_id", node_of(F.col("text")).alias("node")).where("node is not null"), "nodes")
     named = docs.join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
-    stay = materialise(named.groupBy("comp").agg(first.alias("x")).select(F.col("x.doc_id").alias("folio_id"), F.col("x.node").alias("folio_node")), "stay")
+    stay = scratch.write(named.groupBy("comp").agg(first.alias("x")).select(F.col("x.doc_id").alias("folio_id"), F.col("x.node").alias("folio_node")), "stay")
+    scratch.discard(stay)
     marked = df.withColumn("folio_node", node_of(F.col("text")))
     kept = marked.join(stay, "folio_node").where(F.col("doc_id").eqNullSafe(F.col("folio_id"))).dropDuplicates(["folio_node"])
     return kept.select(*df.columns).unionByName(marked.where("folio_node is null").select(*df.columns))
