@@ -12,7 +12,7 @@ from .common import table
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")), key="page_id")
-    return records.drop("block")
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")), key="page_id")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -65,47 +64,11 @@ QUERIES = {f.__name__: f for f in (
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
-    "op1_mix_sources": rf"""
-with sizes as materialized (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as u
-  from documents),
-totals as (select source, sum(size)::bigint as s from sizes group by source),
-weighed as (select source, s, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as w from totals),
-falling as (
-  select *, (sum(s) over () - 3 * coalesce(sum(s) over before, 0))::bigint as a, (sum(w) over () - coalesce(sum(w) over before, 0))::bigint as b
-  from weighed window before as (order by 3 * s / w::double, source nulls last rows between unbounded preceding and 1 preceding)),
-capped as (select *, 3 * s * b < a * w as cap from falling),
-level as (select (select sum(s) from weighed)::bigint - 3 * coalesce(sum(s) filter (cap), 0)::bigint as a,
-                 (select sum(w) from weighed)::bigint - coalesce(sum(w) filter (cap), 0)::bigint as b from capped),
-plan as (
-  select source, s, case when cap then (3 * s)::double else (level.a * w)::double / level.b::double end as target from capped, level),
-whole as (select *, case when s = 0 then 0 else floor(least(3.0, target / s) + 1e-9)::bigint end as whole from plan),
-rest as (select *, greatest(0.0, target - (whole * s)::double) as rest from whole),
-run as (
-  select z.*, r.s, r.target, r.whole, r.rest,
-         sum(z.size) over (partition by z.source order by z.u range between unbounded preceding and current row) as upto
-  from sizes z join rest r on z.source is not distinct from r.source),
-first as (select *, upto <= rest and u < coalesce(min(case when upto > rest then u end) over (partition by source), 0) as in_run from run),
-left1 as (select source, rest - coalesce(sum(size) filter (in_run), 0) as r1 from first group by source, rest),
-c1 as (select f.source, f.u, f.doc_id, f.size, l.r1, row_number() over (partition by f.source order by f.size desc, f.u, f.doc_id desc) as k
-       from first f join left1 l on f.source is not distinct from l.source where not f.in_run and f.size > 0 and f.size <= l.r1 and f.rest > 0),
-p1 as (select * from c1 where k = 1),
-c2 as (select f.source, f.u, f.doc_id, f.size, p.r1 - p.size as r2, row_number() over (partition by f.source order by f.size desc, f.u, f.doc_id desc) as k
-       from first f join p1 p on f.source is not distinct from p.source where not f.in_run and f.doc_id <> p.doc_id and f.size > 0 and f.size <= p.r1 - p.size),
-p2 as (select * from c2 where k = 1),
-c3 as (select f.source, f.doc_id, f.size, row_number() over (partition by f.source order by f.size desc, f.u, f.doc_id desc) as k
-       from first f join p2 q on f.source is not distinct from q.source join p1 p on f.source is not distinct from p.source
-       where not f.in_run and f.doc_id <> p.doc_id and f.doc_id <> q.doc_id and f.size > 0 and f.size <= q.r2 - q.size),
-picked as (select doc_id from p1 union all select doc_id from p2 union all select doc_id from c3 where k = 1)
-select doc_id, size, s as source_size, target, (size * (whole + extra))::bigint as taken, (whole + extra)::bigint as copies
-from (select *, case when in_run or doc_id in (select doc_id from picked) then 1 else 0 end as extra from first)
-""",
     "op4_line_dedup": rf"""
 with lines as (
   select doc_id, source, pos, string_split(text, chr(10))[pos] as line
   from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as t(pos)),
-marked as (select *, trim(line, E' \t\n\x0b\x0c\r') as h, len(regexp_extract_all(line, '{_WORD}')) >= 4 as counts from lines),
+marked as (select *, trim(line, E' \t\n\x0b\x0c\r') as h, len(regexp_extract_all(line, '{_WORD}')) >= 1 as counts from lines),
 wide as (select h, min(doc_id) as keeper from marked where counts group by h having count(distinct coalesce(source, chr(1))) >= 10),
 judged as (select m.*, m.counts and w.h is not null and m.doc_id <> w.keeper as gone from marked m left join wide w on m.h = w.h)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed,
@@ -113,14 +76,14 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_
 from judged group by doc_id
 """,
     "op9_topk_search": """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+with v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+  select q.row, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.row <> c.row where q.vec_id % 50 = 0)
 select query_id, rank::integer as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 5
+from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from pairs) where rank <= 5
 """,
     "op10_warc_derivatives": r"""
 with source as (
@@ -150,7 +113,7 @@ records as (
   select page_id, 'conversion', refers_to, url, 'text/plain; charset=utf-8', payload_digest, block from conversion),
 linked as (select *, md5(record_type || '|' || refers_to) as h from records)
 select page_id, record_type, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as record_id, refers_to,
-       url as target_uri, '2024-01-01T00:00:00Z' as warc_date, content_type, payload_digest, 'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length
+       url as target_uri, '2024-01-01T00:00:00Z' as warc_date, content_type, payload_digest, 'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length, block
 from linked
 """,
 }
