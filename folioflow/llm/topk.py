@@ -1,100 +1,254 @@
 """Exact top-k inner-product search with block bounds.
 
-Candidates are dealt by hash into cells of bounded size.  In a cell they are sorted by id and cut
-into document-range blocks; each block keeps, for every term (dimension), its largest and smallest
-weight.  For a query, the sum over terms of its weight times the fitting extreme bounds every score
-in the block.  Blocks are visited by falling bound and scored through their forward index (the
-block's rows) until the bound falls below the k-th score; an equal bound is still visited, as ties
-go to smaller ids.  The top k of each cell merge to the top k of all.
-
-Queries are dealt into chunks of bounded size too, and a task sees one chunk against one cell, so
-memory is bounded whatever the corpus.
+Candidates of one vector are one entry with its k + 1 smallest ids, which are all that can be named.
+Entries go to cells around centroids of a bounded sample; a cell is cut into document-range blocks of
+entries that lie together.  Blocks keep, for every term (dimension), their largest and smallest
+weight, so for a query the sum over terms of its weight times the fitting extreme bounds every
+score in the block.  A query is scored against its own cell first, which gives it a k-th score to
+beat; only the pairs of query and cell whose bound reaches that score are shipped.  In a cell,
+blocks are visited by falling bound and scored through their forward index (the block's rows)
+until the bound falls below the k-th score; an equal bound is still visited, as ties go to smaller ids.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
-BLOCK = 128
-#: Rows of a cell and of a chunk of queries, on average.
-CELL, CHUNK = 8_192, 4_096
+#: Entries of a block; entries of a cell, pairs of a chunk and cells of a group of bounds, on average.
+BLOCK, CELL, CHUNK, GROUP = 16, 8_192, 4_096, 1_024
+#: Vectors that the centroids are fitted on, and centroids, at most; more cells come from dealing by hash.
+SAMPLE, CENTROIDS = 16_384, 512
+FOUND = "qkey long, vec_id long, score decimal(38,0)"
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component x as double.  Vectors that are null, or hold a
-    null or non-finite component, are left out; so are rows without an id, which no result can name."""
-    v = F.transform(vector, lambda x: x.cast("double"))
+    """vec_id, v: floor(256 * x) of each component x as double, kept as a whole-valued double.  Vectors that
+    are null, or hold a component that is null or not finite (times 256), are left out; so are rows
+    without an id, which no result can name."""
+    v = F.transform(vector, lambda x: x.cast("double") * 256)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).select(
-        F.col(key).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256).cast("long")).alias("v")
-    )
-
-
-def top_of_cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, block: int = BLOCK) -> tuple[list, list, list]:
-    """query ids, ids and scores of the k best of a cell for each query, its own id apart.
-
-    float64 products of integers are exact while 64 * 2^20 or so is not exceeded by 2^53; larger
-    weights fall back to integer products."""
-    order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
-    exact = np.float64 if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * c.shape[1] < 2**52 else object
-    cut = range(0, len(cid), block)
-    blocks = [(cid[i : i + block], c[i : i + block].astype(exact)) for i in cut]
-    high, low = (np.array([f(b, axis=0) for _, b in blocks]) for f in (np.max, np.min))
-    q = q.astype(exact)
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    # all queries that visit a block at their turn are scored together
-    visits = np.argsort(-bounds, axis=1, kind="stable")
-    best_s, best_i = [[] for _ in qid], [[] for _ in qid]
-    active = np.arange(len(qid))
-    for turn in range(len(blocks)):
+    # a double of 2^53 or more is whole already
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & sound).select(F.col(key).cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(flat.flatten(), np.float64).reshape(n, -1)
+
+
+def exact_type(a: np.ndarray, b: np.ndarray) -> type:
+    """float64 where every product sum is exact in it, else Python integers."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    return np.float64 if most < 2**52 else object
+
+
+def as_integers(x: np.ndarray, kind: type) -> np.ndarray:
+    return x if kind is np.float64 else np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+
+
+def tight_order(c: np.ndarray, leaf: int = BLOCK) -> np.ndarray:
+    """An order of rows in which neighbours lie together: halves along the widest direction, again and again."""
+    out, todo = [], [np.arange(len(c))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        with np.errstate(all="ignore"):
+            some = c[rows] - c[rows].mean(0)
+            direction = some.std(0)
+            for _ in range(4):  # power iterations towards the leading direction
+                direction = some.T @ (some @ direction)
+                size = np.linalg.norm(direction)
+                if not np.isfinite(size) or size == 0:
+                    direction = np.zeros(some.shape[1])
+                    break
+                direction = direction / size
+            by = rows[np.argsort(some @ direction, kind="stable")]
+        half = -(-len(by) // (2 * leaf)) * leaf
+        todo += [by[half:], by[:half]]
+    return np.concatenate(out) if out else np.arange(0)
+
+
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and range, a number that no score of the range exceeds (rounded upwards)."""
+    with np.errstate(all="ignore"):
+        ceiling = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        ceiling = ceiling + 1e-9 * (np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T)
+    return np.nan_to_num(ceiling, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def top_of_cell(floor: np.ndarray, own: list, q: np.ndarray, ids: list[list[int]], c: np.ndarray, k: int, block: int = BLOCK) -> tuple[list, int]:
+    """((query row, vec_id, score) of the k best entries of a cell for each query, blocks scored).
+
+    ``ids`` lists the ids of each entry.  ``own`` is each query's own id: one row of that id in an entry of
+    the query's very vector is the query itself.  Scores below ``floor`` are of no use to a query."""
+    order = tight_order(c, block)
+    c, ids = c[order], [ids[i] for i in order]
+    kind = exact_type(q, c)
+    cut = range(0, len(ids), block)
+    high, low = (np.array([f(c[i : i + block], axis=0) for i in cut]) for f in (np.max, np.min))
+    ceiling = bounds(q, high, low)
+    whole_q, whole_c = as_integers(q, kind), as_integers(c, kind)
+    visits = np.argsort(-ceiling, axis=1, kind="stable")
+    best: list[list] = [[] for _ in own]
+    active, scored = np.arange(len(own)), 0
+    for turn in range(len(cut)):
         at = visits[active, turn]
-        floor = np.array([best_s[i][-1] if len(best_s[i]) >= k else -np.inf for i in active])
-        going = bounds[active, at].astype(np.float64) >= floor
+        least = np.array([max(float(floor[i]), float(best[i][-1][0]) if len(best[i]) >= k else -np.inf) for i in active])
+        going = ceiling[active, at] >= least
         active, at = active[going], at[going]
         if not len(active):
             break
+        scored += len(active)
         for b in np.unique(at):
-            some, (ids, rows) = active[at == b], blocks[b]
-            scores = q[some] @ rows.T
-            for i, s in zip(some, scores):
-                ok = ids != qid[i]
-                s, d = np.concatenate([best_s[i], s[ok]]), np.concatenate([best_i[i], ids[ok]]).astype(np.int64)
-                top = np.lexsort((d, -s.astype(np.float64) if exact is np.float64 else np.array([-int(x) for x in s], object)))[:k]
-                best_s[i], best_i[i] = s[top], d[top]
-    out = [(int(a), int(d), int(s)) for a, ss, dd in zip(qid, best_s, best_i) for s, d in zip(ss, dd)]
-    return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 5, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
+            some, start = active[at == b], b * block
+            scores = whole_q[some] @ whole_c[start : start + block].T
+            for i, row in zip(some, scores):
+                bar = best[i][-1] if len(best[i]) >= k else None
+                fresh = []
+                for j in (np.flatnonzero(row >= bar[0]) if bar else range(len(row))):
+                    names = list(ids[start + j])
+                    if own[i] in names and np.array_equal(q[i], c[start + j]):
+                        names.remove(own[i])
+                    fresh += [(row[j], n) for n in names[:k]]
+                if fresh:
+                    best[i] = sorted(best[i] + fresh, key=lambda x: (-x[0], x[1]))[:k]
+    return [(i, n, int(s)) for i, found in enumerate(best) for s, n in found], scored
+
+
+def centroids(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """A few rounds of k-means from evenly spread rows of the sample."""
+    out = sample[np.linspace(0, len(sample) - 1, n).astype(int)].copy()
+    for _ in range(rounds):
+        near = nearest(sample, out)
+        for i in range(len(out)):
+            if (near == i).any():
+                out[i] = sample[near == i].mean(0)
+    return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.argmax(x @ centres.T - 0.5 * (centres * centres).sum(1), axis=1)
+
+
+def _assigned(entries: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``entries`` with dim and centre, the nearest centroid of their length (0 where none was sampled)."""
+    shared = entries.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            sizes, place = np.array([len(v) for v in batch.column("v")]), np.zeros(batch.num_rows, np.int32)
+            for d, c in shared.value.items():
+                rows = np.flatnonzero(sizes == d)
+                if d and len(rows):
+                    place[rows] = nearest(matrix(batch.column("v").take(pa.array(rows)), len(rows)), c)
+            yield batch.append_column("dim", pa.array(sizes, pa.int32())).append_column("centre", pa.array(place, pa.int32()))
+
+    return entries.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields) + ", dim int, centre int")
+
+
+def _deal(parts: Column, *of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), parts).cast("int")
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, cell: int = CELL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``df`` for each row of ``queries`` (both vec_id, v).
 
-    A row is no candidate for a query of its own id; ties go to smaller ids.  Queries with fewer
-    candidates get all of them; empty tables give no rows; repeated rows of the same id and vector count once.  Vectors
-    of different lengths are compared within their length only.
+    ``queries`` are rows of ``df``; every row of ``df`` but the query's own is a candidate, so rows of one id
+    meet, and repeated rows count as often as they are there.  Ties go to smaller ids.  Queries with
+    fewer candidates get all of them; empty tables give no rows.  Vectors of different lengths do not
+    meet, and those of length 0 take no part.  Ranking is exact at any size of components; a score
+    beyond 64 bits is given as the nearest 64-bit number.
     """
-    df, queries = (materialise(x.select("vec_id", "v").dropDuplicates(), "vectors") for x in (df, queries))
-    cells, chunks = (max(1, -(-x.count() // n)) for x, n in ((df, cell), (queries, chunk)))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    left = queries.withColumn("chunk", deal(chunks)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    right = df.withColumn("cell", deal(cells)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    left, right = (x.withColumn("dim", F.size("v")) for x in (left, right))
-
-    def cogroup(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
+    scratch = Scratch(df.sparkSession)
+    key = F.xxhash64("v", F.lit(1))
+    rows = scratch.write(df.where(F.size("v") > 0).select("vec_id", "v", key.alias("vkey")), "vectors")
+    # the k + 1 smallest ids of each vector: all that its ties can name, one of them maybe the query's own
+    named = rows.groupBy("vkey", "v", "vec_id").agg(F.least(F.count("*"), F.lit(k + 1)).cast("int").alias("n"))
+    order = Window.partitionBy("vkey", "v").orderBy("vec_id")
+    named = named.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    entries = scratch.write(named.groupBy("vkey", "v").agg(F.slice(listed, 1, k + 1).alias("ids")), "entries")
+    total = entries.count()
+    cells = max(1, -(-total // cell))
+    fitted: dict[int, np.ndarray] = {}
+    some = entries.orderBy(F.pmod("vkey", F.lit(1 << 40)), "vkey").select("v").limit(SAMPLE).collect()
+    for d in {len(r.v) for r in some}:
+        sample = np.array([r.v for r in some if len(r.v) == d])
+        fitted[d] = centroids(sample, min(CENTROIDS, cells, len(sample)))
+    placed = scratch.write(_assigned(entries, fitted), "placed")
+    sizes = placed.groupBy("dim", "centre").agg(F.ceil(F.count("*") / cell).cast("int").alias("salts"))
+    salted = placed.join(sizes, ["dim", "centre"]).withColumn("salt", _deal(F.col("salts"), "vkey"))
+    salted = scratch.write(salted.withColumn("cell", F.xxhash64("dim", "centre", "salt")).select("vkey", "v", "ids", "dim", "cell"), "cells")
+
+    asked = queries.where(F.size("v") > 0).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    asked = asked.select(F.xxhash64("vec_id", "v").alias("qkey"), "vec_id", "v", key.alias("vkey"), "times")
+    home = asked.join(salted.select("vkey", F.col("v").alias("same"), "dim", "cell"), "vkey").where(F.col("v") == F.col("same")).drop("same", "vkey")
+    home = scratch.write(home, "queries")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        """FOUND of pairs (qkey, vec_id, v, cell, floor), each query's k best of the cell."""
+        crowd = pairs.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+        crowd = scratch.write(crowd, "crowds")
+        left = pairs.join(crowd, "cell").select("qkey", "vec_id", "v", "floor", "cell", _deal(F.col("chunks"), "qkey").alias("chunk"))
+        other = crowd.select(F.col("cell").alias("to"), F.col("chunks").alias("copies"))
+        entry = salted.select(F.col("cell").alias("cell"), F.col("ids").alias("ids"), F.col("v").alias("v"))
+        right = entry.join(other, F.col("cell") == F.col("to")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("to", "copies")
+
+        def cogroup(a: pa.Table, b: pa.Table) -> pa.Table:
+            found: list = []
+            if a.num_rows and b.num_rows:
+                q, c = matrix(a["v"], a.num_rows), matrix(b["v"], b.num_rows)
+                found, _ = top_of_cell(a["floor"].to_numpy(), a["vec_id"].to_pylist(), q, b["ids"].to_pylist(), c, k, block)
+            names = a["qkey"].to_pylist()
+            at, ids, scores = zip(*found) if found else ((), (), ())
+            # far beyond any 64-bit score, order among giants is kept as far as the type goes
+            wide = [max(-(10**38) + 1, min(10**38 - 1, s)) for s in scores]
+            return pa.table({"qkey": pa.array([names[i] for i in at], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(wide, pa.decimal128(38, 0))})
+
+        return left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(cogroup, FOUND)
+
+    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
+    first = scratch.write(score(home.withColumn("floor", F.lit(float("-inf")))), "own-cells")
+    ranked = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("qkey", F.col("score").cast("double").alias("bar"))
+    # the bar as a double may lie above the exact score
+    waiting = home.join(ranked, "qkey", "left").withColumn("floor", F.coalesce(F.col("bar") - 1e-9 * F.abs("bar"), F.lit(float("-inf"))))
+    waiting = scratch.write(waiting.select("qkey", "vec_id", "v", "times", "dim", F.col("cell").alias("own_cell"), "floor"), "waiting")
+
+    # term maxima and minima of each cell, from all of its entries
+    terms = salted.select("dim", "cell", F.posexplode("v").alias("term", "w")).groupBy("dim", "cell", "term").agg(F.max("w").alias("high"), F.min("w").alias("low"))
+    listed = F.sort_array(F.collect_list(F.struct("term", "high", "low")))
+    extremes = terms.groupBy("dim", "cell").agg(listed.alias("x")).select("dim", "cell", F.col("x.high").alias("high"), F.col("x.low").alias("low"))
+    extremes = scratch.write(extremes, "bounds")
+    groups, chunks = max(1, -(-extremes.count() // GROUP)), max(1, -(-waiting.count() // chunk))
+    left = waiting.withColumn("chunk", _deal(F.lit(chunks), "qkey")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = extremes.withColumn("set", _deal(F.lit(groups), "cell")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def reaching(a: pa.Table, b: pa.Table) -> pa.Table:
+        keep_q: list = []
+        keep_c: list = []
         if a.num_rows and b.num_rows:
-            (qid, q), (cid, c) = ((x["vec_id"].to_numpy(), np.array(x["v"].combine_chunks().flatten()).reshape(x.num_rows, -1)) for x in (a, b))
-            if q.shape[1]:
-                found = top_of_cell(qid, q, cid, c, k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
-
-    keys = ("cell", "chunk", "dim")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cogroup, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = near.dropDuplicates()
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            ceiling = bounds(matrix(a["v"], a.num_rows), matrix(b["high"], b.num_rows), matrix(b["low"], b.num_rows))
+            good = ceiling >= a["floor"].to_numpy()[:, None]
+            good &= a["own_cell"].to_numpy()[:, None] != b["cell"].to_numpy()[None, :]
+            keep_q, keep_c = np.nonzero(good)
+        return pa.table({"qkey": a["qkey"].take(pa.array(keep_q, pa.int64())), "cell": b["cell"].take(pa.array(keep_c, pa.int64()))})
+
+    keys = ("dim", "chunk", "set")
+    pairs = scratch.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(reaching, "qkey long, cell long"), "pairs")
+    second = scratch.write(score(pairs.join(waiting.select("qkey", "vec_id", "v", "floor"), "qkey")), "other-cells")
+    every = first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    score64 = F.greatest(F.lit(LOW).cast("decimal(38,0)"), F.least(F.lit(HIGH).cast("decimal(38,0)"), F.col("score"))).cast("long")
+    out = every.join(waiting.select("qkey", F.col("vec_id").alias("query_id"), "times"), "qkey")
+    out = out.select("query_id", "rank", "vec_id", score64.alias("score"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+    scratch.discard(first, second, waiting)
+    return out
