@@ -12,9 +12,11 @@ import hashlib
 import html
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +27,131 @@ DATE = "2024-01-01T00:00:00Z"
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
 
-_DROP = re.compile(r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>", re.S | re.I)
+#: What is left out with all that it holds: its opening, and its end.
+_HELD = {
+    "!--": (re.compile("<!--"), re.compile("-->")),
+    **{n: (re.compile(rf"<{n}\b", re.I), re.compile(rf"</{n}\s*>", re.I)) for n in ("script", "style", "noscript")},
+}
+_OPENS = re.compile(r"<(!--|script\b|style\b|noscript\b)", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^<>]*)?>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!?][^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*>")
+_START = re.compile(r"<[A-Za-z/!?]")
+_SPECIAL = re.compile(r"[<>\"']")
 _LEFT = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _RUN = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
+def without_held(page: str) -> str:
+    """The page without comments, scripts and styles; one that never ends is ordinary markup.
+
+    One pass: what was looked for in vain once is not looked for again."""
+    out, at, look, missing = [], 0, 0, set()
+    while found := _OPENS.search(page, look):
+        name = found[1].lower()
+        look, end = found.end(), -1
+        inside = look if name == "!--" else page.find(">", look) + 1 if ">" not in missing else 0
+        if not inside:
+            missing.add(">")
+        elif name not in missing:
+            close = _HELD[name][1].search(page, inside)
+            end = close.end() if close else -1
+            if not close:
+                missing.add(name)
+        if end >= 0:
+            out.append(page[at : found.start()])
+            at = look = end
+    return "".join(out) + page[at:]
+
+
+def without_tags(text: str) -> str:
+    """The text without tags; > inside quotes does not end a tag, and a < outside of quotes ends the try.
+
+    One pass: a quote from which no tag's end was reached once is not followed again."""
+    out, at, look, dead, lonely = [], 0, 0, set(), {}
+    while found := _START.search(text, look):
+        place, tried, end = found.end(), [], -1
+        while special := _SPECIAL.search(text, place):
+            mark, i = special[0], special.start()
+            if mark == ">":
+                end = i + 1
+            if mark in "<>" or i in dead or i >= lonely.get(mark, len(text)):
+                break
+            tried.append(i)
+            place = text.find(mark, i + 1) + 1
+            if not place:
+                lonely[mark] = i
+                break
+        if end < 0:
+            dead.update(tried)
+            look = found.start() + 1
+        else:
+            out.append(text[at : found.start()])
+            at = look = end
+    return "".join(out) + text[at:]
+
+
 def plain_text(page: str) -> str:
-    """The text of a page: no comments, scripts or styles; a line for each block with text."""
-    text = _LEFT.sub("", _TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page))))
+    """The text of a page, in time linear in its length: no comments, scripts or styles; a line for each
+    block with text."""
+    text = _LEFT.sub("", without_tags(_BREAK.sub("\n", without_held(page))))
     lines = (_RUN.sub(" ", x).strip(" ") for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def header(http_headers: str, name: str) -> str:
+    """The last value of a header, lower case; empty if there is none."""
+    found = ""
+    for line in http_headers.replace("\r\n", "\n").split("\n")[1:]:
+        key, colon, value = line.partition(":")
+        if colon and key.strip().lower() == name:
+            found = value.strip().lower()
+    return found
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body in chunked transfer encoding, put together; the body as it is where it is not chunked so."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else body
+
+
+def uncompressed(body: bytes, coding: str) -> bytes:
+    """A body of content coding gzip, deflate or zstd, as far as it can be read; any other as it is."""
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return zlib.decompressobj(47).decompress(body)
+        if coding == "deflate":
+            return zlib.decompressobj(15 if body[:1] and body[0] & 15 == 8 else -15).decompress(body)
+        if coding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return body
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.I)
+
+
+def page_of(http_headers: str, payload: bytes) -> str:
+    """The payload as text: transfer and content codings undone, in the charset that the headers or else the
+    page's first 1024 bytes name, else UTF-8; bytes that it does not know become replacement characters."""
+    body = unchunked(payload) if "chunked" in header(http_headers, "transfer-encoding") else payload
+    for coding in reversed(header(http_headers, "content-encoding").split(",")):
+        body = uncompressed(body, coding.strip())
+    said = _CHARSET.search(header(http_headers, "content-type")) or _CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        return body.decode(said[1] if said else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def digest(block: bytes) -> str:
     return "sha256:" + hashlib.sha256(block).hexdigest()
 
@@ -72,8 +185,8 @@ def source_fields(http_headers: str, payload: bytes, payload_digest: str) -> str
 def derive(df: DataFrame, key: str | None = None) -> DataFrame:
     """Two records (RECORD, and ``key`` if given) of each response: metadata and conversion.
 
-    Bytes that are not UTF-8 become replacement characters in the conversion; an empty payload gives
-    an empty conversion block.  Null record ids are derived from the target and payload; other nulls
+    The conversion reads the payload with its codings undone (``page_of``); digests and lengths are those
+    of the payload as it was sent.  An empty payload gives an empty conversion block.  Null record ids are derived from the target and payload; other nulls
     are empty headers.  Repeated responses give repeated records, an empty table none; columns beyond
     RESPONSE and ``key`` are left out.
     """
@@ -90,7 +203,7 @@ def derive(df: DataFrame, key: str | None = None) -> DataFrame:
                 source = own["record_id"] or uuid_of("response", own["target_uri"] or "", kept)
                 blocks = (
                     ("metadata", "application/warc-fields", source_fields(own["http_headers"] or "", payload, kept)),
-                    ("conversion", "text/plain; charset=utf-8", plain_text(payload.decode("utf-8", "replace"))),
+                    ("conversion", "text/plain; charset=utf-8", plain_text(page_of(own["http_headers"] or "", payload))),
                 )
                 for kind, content, block in blocks:
                     data = block.encode()
@@ -142,21 +255,59 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, stream.read(int(head.get("content-length") or 0))
 
 
+SEPARATOR = "\r\n\r\nWARC/1."
+_VERSION = re.compile(rb"(?:WARC/1\.)?[01]\r\n")
+
+
+class Records:
+    """Puts records together from a file's pieces between separators, one after the other."""
+
+    def __init__(self):
+        self.path, self.held, self.missing, self.head = None, b"", 0, {}
+
+    def add(self, path: str, piece: bytes) -> tuple[dict[str, str], bytes] | None:
+        """The record that the piece completes.  A separator inside of a block cuts it into several pieces."""
+        if self.missing and path == self.path:
+            self.held += SEPARATOR.encode() + piece
+        else:
+            self.end()
+            if not piece.strip():
+                return None
+            start = _VERSION.match(piece)
+            top, blank, block = piece.partition(b"\r\n\r\n")
+            if not start:
+                raise ValueError(f"no record starts at a piece of {path}: a block holds a record separator where the file was split; compress the file, or raise spark.sql.files.maxPartitionBytes")
+            lines = (x.partition(":") for x in top[start.end() :].decode("utf-8", "replace").split("\r\n"))
+            self.head = {n.strip().lower(): v.strip() for n, colon, v in lines if colon}
+            self.path, self.held = path, block
+        size = int(self.head.get("content-length") or 0)
+        self.missing = max(0, size - len(self.held))
+        return None if self.missing else (self.head, self.held[:size])
+
+    def end(self) -> None:
+        if self.missing:
+            raise ValueError(f"{self.path}: a record's block is {self.missing} bytes short")
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """RESPONSE rows of the response records in WARC files under ``path``, one file a row at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    """RESPONSE rows of the response records in WARC files under ``path``, plain or gzip.
+
+    Spark's text reader streams a file from one record separator to the next, so a task holds a few
+    records at a time, whatever the file's size.  A record that is cut short is an error."""
+    text = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", "true").text(path)
+    pieces_ = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    names = [c.split()[0] for c in RESPONSE.split(", ")]
 
     def run(batches):
+        records = Records()
         for batch in batches:
-            for raw in batch.column("content"):
-                rows = []
-                for head, block in parse(raw.as_py()):
-                    if head.get("warc-type") == "response":
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http.decode("utf-8", "replace"), payload, head.get("warc-payload-digest")))
-                if rows:
-                    names = [c.split()[0] for c in RESPONSE.split(", ")]
-                    yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return files.mapInArrow(run, RESPONSE)
+            for file, piece in zip(batch.column("path"), batch.column("piece")):
+                whole = records.add(file.as_py(), piece.as_py())
+                if whole and whole[0].get("warc-type") == "response":
+                    head, block = whole
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    row = (head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), http.decode("utf-8", "replace"), payload, head.get("warc-payload-digest"))
+                    yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, row)})
+        records.end()
+
+    return pieces_.mapInArrow(run, RESPONSE)
