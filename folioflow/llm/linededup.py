@@ -12,43 +12,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, Scratch
 
 #: Distinct sites from which a line is boilerplate, and words from which a line is looked at.
-SITES, LEAST_WORDS = 10, 4
+SITES, LEAST_WORDS = 10, 1
 #: log2 of a sketch's registers (standard error 3.3 %) and the share around the threshold counted exactly.
 LG_K, NEAR = 10, 0.25
 WHITE = "\t\n\x0b\x0c\r "
 
 
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line, F.lit(WHITE)))
+    """Two 64-bit hashes of a line without white space at its ends; two different ones of n lines share
+    both with a probability of about n^2 / 2^129."""
+    bare = F.trim(line, F.lit(WHITE))
+    return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b"))
 
 
 def eligible(line: Column, least: int = LEAST_WORDS) -> Column:
     return F.regexp_count(line, F.lit(WORD)) >= least
 
 
-def spread_lines(df: DataFrame, site: str = "source", sites: int = SITES, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def spread_lines(df: DataFrame, scratch: Scratch, site: str = "source", sites: int = SITES, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines, boilerplate) of ``df`` (doc_id, text, site).
 
-    lines: key, doc_id, h, one row for each distinct eligible line of a document.  boilerplate: h,
+    lines: key, doc_id, a, b, one row for each distinct eligible line of a document.  boilerplate: a, b,
     keeper, each line on at least ``sites`` distinct sites, a null site being one."""
     found = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: eligible(x, least)), line_hash))
     lines = df.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.xxhash64(F.col(site)).alias("site"), F.explode(found).alias("h"))
-    lines = materialise(lines, "lines")
-    spread = lines.groupBy("h").agg(
+    lines = scratch.write(lines.select("key", "doc_id", "site", "h.a", "h.b"), "lines")
+    spread = lines.groupBy("a", "b").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"), F.min("doc_id").alias("keeper")
     )
-    wide = materialise(spread.where(F.col("about") >= sites * (1 - NEAR)), "spread")
-    near = wide.where(F.col("about") <= sites * (1 + NEAR)).select("h")
+    wide = scratch.write(spread.where(F.col("about") >= sites * (1 - NEAR)), "spread")
+    near = wide.where(F.col("about") <= sites * (1 + NEAR)).select("a", "b")
     exact = (
-        lines.join(near, "h", "left_semi").select("h", "site").distinct()
-        .groupBy("h").agg(F.count("*").alias("exact")).where(F.col("exact") >= sites).select("h")
+        lines.join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct()
+        .groupBy("a", "b").agg(F.count("*").alias("exact")).where(F.col("exact") >= sites).select("a", "b")
     )
     sure = wide.where(F.col("about") > sites * (1 + NEAR))
-    boilerplate = sure.unionByName(wide.join(exact, "h", "left_semi")).select("h", "keeper")
-    return lines, materialise(boilerplate, "boilerplate")
+    boilerplate = sure.unionByName(wide.join(exact, ["a", "b"], "left_semi")).select("a", "b", "keeper")
+    return lines, scratch.write(boilerplate, "boilerplate")
 
 
 def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, least: int = LEAST_WORDS) -> DataFrame:
@@ -60,22 +63,22 @@ def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, least:
     and lines seen under null ids alone go nowhere.  Repeated rows are treated alike; an empty table
     gives no rows; extra columns pass through, but for clashing n_lines and n_removed, which are replaced.
     """
-    lines, boilerplate = spread_lines(df, site, sites, least)
+    scratch = Scratch(df.sparkSession)
+    lines, boilerplate = spread_lines(df, scratch, site, sites, least)
     gone = (
-        lines.join(boilerplate, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("key").agg(F.collect_set("h").alias("gone"))
+        lines.join(boilerplate, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        .groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     )
     columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    docs = df.select(*columns, F.xxhash64("doc_id", "text").alias("folio_key"))
+    own = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("own")
+    docs = df.select(own, F.xxhash64("doc_id", "text").alias("key"))
     # what goes grows with the documents, so it is not broadcast at any size
-    gone = materialise(gone, "gone").withColumnsRenamed({"key": "folio_key", "gone": "folio_gone"}).hint("merge")
-    docs = docs.join(gone, "folio_key", "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x: ~(eligible(x, least) & F.array_contains("folio_gone", line_hash(x))))
-    text = F.when(F.col("folio_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    removed = F.when(F.col("folio_gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
-    clean = {"text": text.alias("text")}
-    return docs.select(
-        *(clean.get(c, F.col(c)) for c in columns), F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), removed.alias("n_removed")
-    )
+    gone = scratch.write(gone, "gone")
+    scratch.discard(gone)
+    docs = docs.join(gone.hint("merge"), "key", "left")
+    parts = F.split("own.text", "\n")
+    kept = F.filter(parts, lambda x: ~(eligible(x, least) & F.array_contains("gone", line_hash(x))))
+    text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
+    n = F.when(F.col("own.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    return docs.select(*((text if c == "text" else F.col("own")[c]).alias(c) for c in columns), n.alias("n_lines"), removed.alias("n_removed"))
