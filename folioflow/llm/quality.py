@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, by_batch
+from .common import WORD, by_batch, pieces
 
 #: Labelled documents trained on at most, trees, their depth, learning rate, histogram bins.
 SAMPLE, TREES, DEPTH, RATE, BINS = 3000, 60, 3, 0.2, 32
@@ -149,14 +149,16 @@ def grow(x: np.ndarray, y: np.ndarray, sign: list[int], trees: int = TREES, dept
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees for labels.quality from at most ``sample`` labelled documents, chosen by a hash of doc_id.
 
-    Labels without an id or quality are not used.  With no usable label the trees are empty and every
-    document gets probability 0.5."""
-    spark = documents.sparkSession
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    Labels without an id or quality are not used; of repeated labels the better quality counts, of
+    documents with one id the one with the least features, so that at most ``sample`` rows reach the
+    driver.  With no usable label, or none of one kind, the trees are empty and every document gets
+    probability 0.5."""
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = min(1.0, 1.2 * sample / max(1, known.count()))
     picked = known.where(unit < F.lit(int(share * (1 << 30)))).orderBy(unit, "doc_id").limit(sample)
-    ids = spark.createDataFrame(picked.collect(), known.schema)  # at most ``sample`` rows
+    ids = documents.sparkSession.createDataFrame(picked.collect(), known.schema)  # at most ``sample`` rows
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
 
     def make():
@@ -165,7 +167,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
 
         return work
 
-    rows = sorted(by_batch(texts.select("doc_id", F.col("quality").cast("long"), "text"), "doc_id long, quality long, x array<double>", make).collect())
+    found = by_batch(texts.select("doc_id", F.col("quality").cast("long"), "text"), "doc_id long, quality long, x array<double>", make)
+    rows = sorted(found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect())
     if len({q > 0 for _, q, _ in rows}) < 2:
         return Trees(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0)
     return grow(np.array([x for _, _, x in rows]), np.array([float(q > 0) for _, q, _ in rows]), list(FEATURES.values()))
@@ -176,7 +179,7 @@ def judge(df: DataFrame, trees: Trees, keep: float = KEEP, carry: bool = False)
 
     A null text has no words and fails the base rules, as does an empty one.  Very long texts are
     read whole.  Repeated rows repeat, an empty table gives no rows, a null doc_id stays null.  With
-    ``carry`` only kept rows come back, with the input's own columns and nothing else.
+    ``carry`` only kept rows come back, with the input's own columns, whatever their names, and nothing else.
     """
     shared = df.sparkSession.sparkContext.broadcast(trees)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -191,12 +194,10 @@ def judge(df: DataFrame, trees: Trees, keep: float = KEEP, carry: bool = False)
         schema = df.schema
 
         def kept_rows(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    _, failed, p = verdicts(batch)
-                    yield batch.filter(pa.array(~np.array(failed) & (p >= keep)))
+            for batch in pieces(batches):
+                _, failed, p = verdicts(batch)
+                yield batch.filter(pa.array(~np.array(failed) & (p >= keep)))
 
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         return df.mapInArrow(kept_rows, schema)
 
     def make():
