@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Entries of a block; entries of a cell, pairs of a chunk and cells of a group of bounds, on average.
-BLOCK, CELL, CHUNK, GROUP = 16, 8_192, 4_096, 1_024
+BLOCK, CELL, CHUNK, GROUP = 32, 8_192, 4_096, 1_024
 #: Vectors that the centroids are fitted on, and centroids, at most; more cells come from dealing by hash.
 SAMPLE, CENTROIDS = 16_384, 512
 FOUND = "qkey long, vec_id long, score decimal(38,0)"
@@ -99,28 +99,36 @@ def top_of_cell(floor: np.ndarray, own: list, q: np.ndarray, ids: list[list[int]
     whole_q, whole_c = as_integers(q, kind), as_integers(c, kind)
     visits = np.argsort(-ceiling, axis=1, kind="stable")
     best: list[list] = [[] for _ in own]
-    active, scored = np.arange(len(own)), 0
-    for turn in range(len(cut)):
-        at = visits[active, turn]
-        least = np.array([max(float(floor[i]), float(best[i][-1][0]) if len(best[i]) >= k else -np.inf) for i in active])
-        going = ceiling[active, at] >= least
-        active, at = active[going], at[going]
-        if not len(active):
-            break
-        scored += len(active)
-        for b in np.unique(at):
-            some, start = active[at == b], b * block
-            scores = whole_q[some] @ whole_c[start : start + block].T
-            for i, row in zip(some, scores):
-                bar = best[i][-1] if len(best[i]) >= k else None
-                fresh = []
-                for j in (np.flatnonzero(row >= bar[0]) if bar else range(len(row))):
-                    names = list(ids[start + j])
-                    if own[i] in names and np.array_equal(q[i], c[start + j]):
+    bar = np.array(floor, np.float64)
+    active, scored, start, width = np.arange(len(own)), 0, 0, 1
+    while len(active) and start < len(cut):
+        # each query's next blocks, more of them each round, as long as their bounds reach its bar
+        turns = visits[active, start : start + width]
+        going = ceiling[active[:, None], turns] >= bar[active][:, None]
+        rows, columns = np.nonzero(going)
+        who, where = active[rows], turns[rows, columns]
+        scored += len(who)
+        order_ = np.argsort(where, kind="stable")
+        who, where = who[order_], where[order_]
+        edges = np.r_[0, np.flatnonzero(np.diff(where)) + 1, len(where)]
+        for low_, high_ in zip(edges[:-1], edges[1:]):
+            if low_ == high_:
+                continue
+            some, first = who[low_:high_], int(where[low_]) * block
+            scores = whole_q[some] @ whole_c[first : first + block].T
+            hits = scores >= bar[some][:, None]
+            for at in np.flatnonzero(hits.any(1)):
+                i, fresh = some[at], []
+                for j in np.flatnonzero(hits[at]):
+                    names = list(ids[first + j])
+                    if own[i] in names and np.array_equal(q[i], c[first + j]):
                         names.remove(own[i])
-                    fresh += [(row[j], n) for n in names[:k]]
-                if fresh:
-                    best[i] = sorted(best[i] + fresh, key=lambda x: (-x[0], x[1]))[:k]
+                    fresh += [(scores[at, j], n) for n in names[:k]]
+                best[i] = sorted(best[i] + fresh, key=lambda x: (-x[0], x[1]))[:k]
+                if len(best[i]) >= k:
+                    bar[i] = max(bar[i], np.nextafter(float(best[i][-1][0]), -np.inf) if kind is object else float(best[i][-1][0]))
+        active = active[going[:, -1]]
+        start, width = start + width, 2 * width
     return [(i, n, int(s)) for i, found in enumerate(best) for s, n in found], scored
 
 
