@@ -61,3 +61,12 @@ def rotated(b: Box, degrees: Column, page_width: Column, page_height: Column) ->
 def inside_page(b: Box, page_width: Column, page_height: Column) -> Column:
     """Whether a box is not empty and lies on its page."""
     return (b.x0 < b.x1) & (b.top < b.bottom) & (b.x0 >= 0) & (b.top >= 0) & (b.x1 <= page_width) & (b.bottom <= page_height)
+
+
+def header_logo(kind: Column, page: Column, b: Box) -> Column:
+    """Whether a picture is a small one at the top of a page after the first, as repeated logos are."""
+    return (kind == "picture") & (page > 1) & (b.top < 70) & (height(b) < 60) & (width(b) < 160)
+
+
+def is_below(upper: Box, lower: Box, tolerance: float = 3.0) -> Column:
+    return lower.top >= upper.bottom - tolerance

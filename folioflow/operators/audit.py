@@ -5,37 +5,45 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import bare
+from .pages import let
 
 
 def repeated_cells(cells: DataFrame, tones: int = 4) -> DataFrame:
-    """tab, r, c, tone: cells in components of equal, non-blank, trimmed neighbours (left, right, up, down).
-
-    Components of one cell give no row; tones count components in scan order.  One grid is one group."""
-
-    def grid(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["r", "c"])
-        at = {(r, c): v for r, c, v in zip(g.r, g.c, g.value)}
-        found, parts = {}, 0
-        for start in at:
-            if start in found:
-                continue
-            part, todo = {start}, [start]
-            while todo:
-                r, c = todo.pop()
-                near = {p for p in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if at.get(p) == at[start]} - part
-                part |= near
-                todo += near
-            tone = parts % tones if len(part) > 1 else None
-            parts += len(part) > 1
-            found |= dict.fromkeys(part, tone)
-        out = [(g.tab.iloc[0], r, c, t) for (r, c), t in found.items() if t is not None]
-        return pd.DataFrame(out, columns=["tab", "r", "c", "tone"])
-
-    shown = cells.select("tab", "r", "c", F.trim("value").alias("value")).where("value <> ''")
-    kind = cells.schema["tab"].dataType.simpleString()
-    return shown.groupBy("tab").applyInPandas(grid, f"tab {kind}, r int, c int, tone int")
+    """doc, tab, r, c, tone: cells in components of equal, non-blank, trimmed neighbours (left, right, up, down).
+
+    Components of one cell give no row; tones count components in scan order.  One grid is one row: each cell
+    starts with its own place as label and takes the smallest one among its like neighbours until none changes,
+    at most as often as there are cells."""
+    shown = cells.select("doc", "tab", "r", "c", F.trim("value").alias("value")).where("value <> ''")
+    grids = shown.groupBy("doc", "tab").agg(F.sort_array(F.collect_list(F.struct("r", "c", "value"))).alias("x"))
+    # for each cell, the places (in scan order) of its like neighbours and its own
+    near = lambda a, b: (F.abs(a["r"] - b["r"]) + F.abs(a["c"] - b["c"]) <= 1) & (a["value"] == b["value"])
+    alike = F.transform("x", lambda a: F.filter(F.transform("x", lambda b, j: F.when(near(a, b), j)), lambda j: j.isNotNull()))
+    start = F.struct(F.transform("x", lambda a, i: i).alias("label"), F.lit(True).alias("moving"))
+
+    def labels(near: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            lower = F.transform(near, lambda places: F.array_min(F.transform(places, lambda j: F.get(acc["label"], j))))
+            # a label's own label may be smaller still
+            jumped = let(lower, lambda low: F.transform(low, lambda v: F.get(low, v)))
+            return F.when(acc["moving"], let(jumped, lambda now: F.struct(now.alias("label"), (now != acc["label"]).alias("moving")))).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size("x")), start, step)["label"]
+
+    def marked(label: Column) -> Column:
+        many = F.array_distinct(F.filter(label, lambda v: F.size(F.filter(label, lambda w: w == v)) > 1))
+        return F.struct(label.alias("label"), many.alias("many"))
+
+    # one expression, so that no part of it is worked out again for each cell
+    grids = grids.select("doc", "tab", "x", let(let(alike, labels), marked).alias("m")).select("doc", "tab", "x", "m.label", "m.many")
+    each = grids.select("doc", "tab", F.posexplode("x").alias("i", "cell"), "label", "many")
+    tone = F.array_position("many", F.get("label", F.col("i")))
+    return each.select("doc", "tab", "cell.r", "cell.c", tone.alias("t")).where("t > 0").select("doc", "tab", "r", "c", F.pmod(F.col("t") - 1, F.lit(tones)).cast("int").alias("tone"))
 
 
 def chain_closure(selected: DataFrame, fragments: DataFrame, least: float = 0.75) -> DataFrame:
@@ -44,70 +52,91 @@ def chain_closure(selected: DataFrame, fragments: DataFrame, least: float = 0.75
     ``selected``: doc, id, target, target_page; ``fragments``: doc, id, page, x0, x1 (null: no box).  From
     each selected fragment on, in order of page, the next one that is at most a page further and overlaps
     the last of the chain by ``least`` of the smaller width joins.  A fragment goes to the first chain that
-    takes it.  Chains depend on what others took, so a document is one group."""
-
-    def doc(key, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.dropna(subset=["x0", "x1"]).sort_values(["page", "id"])
-        rows = {x.id: x for x in f.itertuples()}
-        taken, out = set(s.id), []
-        for pick in s.sort_values("id").itertuples():
-            last = rows.get(pick.id)
-            if last is None:
-                continue
-            low, high = sorted((last.page, pick.target_page))
-            for x in f[(f.page >= low) & (f.page <= high)].itertuples():
-                width = min(last.x1 - last.x0, x.x1 - x.x0)
-                shared = min(last.x1, x.x1) - max(last.x0, x.x0)
-                if x.id not in taken and x.page <= last.page + 1 and width > 0 and shared / width >= least:
-                    taken.add(x.id)
-                    out.append((key[0], x.id, x.page, pick.target))
-                    last = x
-        return pd.DataFrame(out, columns=["doc", "id", "page", "target"])
-
-    left = selected.select(F.col("doc").cast("long"), F.col("id").cast("long"), F.col("target").cast("long"), F.col("target_page").cast("long"))
-    right = fragments.select(F.col("doc").cast("long"), F.col("id").cast("long"), F.col("page").cast("long"), F.col("x0").cast("double"), F.col("x1").cast("double"))
-    return left.groupBy("doc").cogroup(right.groupBy("doc")).applyInPandas(doc, "doc long, id long, page long, target long")
-
-
-def _lines(chars: list, tolerance: float) -> str:
-    """Text of placed characters: a character joins the first line within ``tolerance`` of its top."""
-    lines: list[tuple[float, list]] = []
-    for ch in sorted(chars, key=lambda x: (x["top"], x["x0"])):
-        line = next((row for at, row in lines if abs(ch["top"] - at) <= tolerance), None)
-        if line is None:
-            lines.append((ch["top"], line := []))
-        line.append(ch)
-    texts = ("".join(x["text"] for x in sorted(row, key=lambda x: x["x0"])).strip() for _, row in sorted(lines, key=lambda x: x[0]))
-    return "\n".join(t for t in texts if t)
-
-
-def _compare(values: pd.Series, chars: pd.Series, tolerance: pd.Series) -> pd.DataFrame:
-    out = []
-    for value, found, t in zip(values, chars, tolerance):
-        spatial = _lines(list(found) if found is not None else [], t)
-        a, b = "".join((value or "").split()), "".join(spatial.split())
-        like = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-        out.append((spatial, like, a != b and like < (0.8 if min(len(a), len(b)) < 10 else 0.9)))
-    return pd.DataFrame(out, columns=["spatial", "similarity", "suspect"])
-
-
-def cell_guard(cells: DataFrame, chars: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    takes it.  Chains depend on what others took, so a document is one row, folded over its selected
+    fragments and, inside, over the document's fragments in order."""
+    boxed = fragments.where("x0 is not null and x1 is not null")
+    item = F.struct(*(F.col(c).cast(k).alias(c) for c, k in (("page", "long"), ("id", "long"), ("x0", "double"), ("x1", "double"))))
+    parts = boxed.groupBy("doc").agg(F.sort_array(F.collect_list(item)).alias("parts"))
+    pick = F.struct(*(F.col(c).cast("long").alias(c) for c in ("id", "target", "target_page")))
+    docs = selected.groupBy("doc").agg(F.sort_array(F.collect_list(pick)).alias("picks")).join(parts, "doc")
+    found = "array<struct<id:bigint,page:bigint,target:bigint>>"
+
+    def follows(last: Column, x: Column) -> Column:
+        width = F.least(last["x1"] - last["x0"], x["x1"] - x["x0"])
+        shared = F.least(last["x1"], x["x1"]) - F.greatest(last["x0"], x["x0"])
+        return (x["page"] <= last["page"] + 1) & F.when(width > 0, shared / width >= least).otherwise(False)
+
+    def chain(acc: Column, p: Column) -> Column:
+        begin = F.get(F.filter("parts", lambda x: x["id"] == p["id"]), F.lit(0))
+        between = lambda x: x["page"].between(F.least(begin["page"], p["target_page"]), F.greatest(begin["page"], p["target_page"]))
+        free = F.filter("parts", lambda x: between(x) & ~F.array_contains(acc["taken"], x["id"]))
+
+        def join(a: Column, x: Column) -> Column:
+            row = F.struct(x["id"].alias("id"), x["page"].alias("page"), p["target"].alias("target"))
+            return F.when(follows(a["last"], x), F.struct(x.alias("last"), F.array_append(a["out"], row).alias("out"))).otherwise(a)
+
+        walked = F.aggregate(free, F.struct(begin.alias("last"), F.array().cast(found).alias("out")), join)["out"]
+        return let(F.coalesce(walked, F.array().cast(found)), lambda w: F.struct(F.concat(acc["taken"], F.transform(w, lambda r: r["id"])).alias("taken"), F.concat(acc["out"], w).alias("out")))
+
+    start = F.struct(F.transform("picks", lambda p: p["id"]).alias("taken"), F.array().cast(found).alias("out"))
+    return docs.select(F.col("doc").cast("long"), F.inline(F.aggregate("picks", start, chain)["out"]))
+
+
+def lines_of(chars: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """``chars`` (cell, top, x0, text) with line: the top that a character's line began with.
+
+    In order of top a character stays in the current line while it is within ``tolerance`` of the line's first
+    top; as tops only rise, no earlier line can be nearer.  A cell's characters are one row, folded once."""
+    listed = chars.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("top", "x0", "text"))).alias("x"))
+    kind = "array<struct<line:double,x0:double,text:string>>"
+
+    def step(acc: Column, ch: Column) -> Column:
+        line = F.when(ch["top"] - acc["line"] <= tolerance, acc["line"]).otherwise(ch["top"])
+        return let(line, lambda at: F.struct(at.alias("line"), F.array_append(acc["out"], F.struct(at.alias("line"), ch["x0"].alias("x0"), ch["text"].alias("text"))).alias("out")))
+
+    start = F.struct(F.lit(float("-inf")).alias("line"), F.array().cast(kind).alias("out"))
+    return listed.select("cell", F.inline(F.aggregate("x", start, step)["out"]))
+
+
+def spatial_text(chars: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """cell, spatial: what the characters of a cell say, line by line from left to right; blank lines are left out."""
+    line = F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), ""))
+    lines = lines_of(chars, tolerance).groupBy("cell", "line").agg(line.alias("said"))
+    return lines.where("said <> ''").groupBy("cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), "\n").alias("spatial"))
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matched share of two texts by longest common blocks, which no built-in expression gives."""
+    return pd.Series([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+
+
+def difference(a: Column, b: Column) -> Column:
+    """How a grid's text differs from a page's: "missing", "unsupported", "from_neighbour", "cut" or "different"."""
+    holds = F.struct((F.contains(a, b) & (a != b)).alias("more"), (F.contains(b, a) & (a != b)).alias("less"))
+    one_empty = F.when(a == "", "missing").when(b == "", "unsupported")
+    return F.coalesce(one_empty, F.when(holds["more"], "from_neighbour").when(holds["less"], "cut"), F.lit("different"))
+
+
+def cell_guard(cells: DataFrame, chars: DataFrame, tolerance: float = 1.0, short: int = 10) -> DataFrame:
     """page, r, c, value, spatial, similarity, reason: checked cells that differ from the characters in their box.
 
     ``cells``: page, r, c, value and a box (null: skipped); ``chars``: page, text, upright and a box.  A
     character is in the cell that holds its centre, edges left and above included.  Cells with turned
-    characters are skipped.  The join has the page as equi-key and sees one page's cells at a time."""
+    characters are skipped.  White space tells nothing apart; from 80 % likeness on (90 % from ``short``
+    characters on) texts count as equal.  The join has the page as equi-key and sees one page's cells at a time."""
     mid = chars.select("page", "text", "upright", "x0", "top", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"))
-    k, ch = cells.where("x0 is not null").alias("k"), mid.alias("ch")
+    checked = cells.where("x0 is not null").withColumn("cell", F.struct("page", "r", "c"))
+    k, ch = checked.alias("k"), mid.alias("ch")
     inside = (F.col("k.page") == F.col("ch.page")) & (F.col("cx") >= F.col("k.x0")) & (F.col("cx") < F.col("k.x1")) & (F.col("cy") >= F.col("k.top")) & (F.col("cy") < F.col("k.bottom"))
-    char = F.when(F.col("ch.text").isNotNull(), F.struct(F.col("ch.text").alias("text"), F.col("ch.x0").cast("double").alias("x0"), F.col("ch.top").cast("double").alias("top")))
-    held = k.join(ch, inside, "left").groupBy("k.page", "k.r", "k.c", "k.value").agg(F.collect_list(char).alias("chars"), F.bool_or(~F.coalesce("ch.upright", F.lit(True))).alias("turned"))
-    compare = F.pandas_udf(_compare, "spatial string, similarity double, suspect boolean")
-    said = held.where(~F.col("turned")).withColumn("x", compare("value", "chars", F.lit(tolerance))).where("x.suspect")
-    bare = lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)\s+", "")
-    a, b = bare(F.col("value")), bare(F.col("x.spatial"))
-    reason = (
-        F.when((a == "") & (b != ""), "missing").when((a != "") & (b == ""), "unsupported")
-        .when((F.length(a) > F.length(b)) & F.contains(a, b), "from_neighbour").when((F.length(b) > F.length(a)) & F.contains(b, a), "cut").otherwise("different")
-    )
-    return said.select("page", "r", "c", "value", "x.spatial", "x.similarity", reason.alias("reason"))
+    held = k.join(ch, inside).select("k.cell", F.col("ch.top").cast("double").alias("top"), F.col("ch.x0").cast("double").alias("x0"), "ch.text", "ch.upright")
+    turned = held.where("not coalesce(upright, true)").select("cell").distinct()
+    said = checked.join(turned, "cell", "left_anti").join(spatial_text(held, tolerance), "cell", "left")
+    said = said.select("cell", "value", F.coalesce("spatial", F.lit("")).alias("spatial"))
+    a, b = bare(F.col("value")), bare(F.col("spatial"))
+    said = said.withColumn("a", a).withColumn("b", b).where("a <> b").withColumn("similarity", likeness("a", "b"))
+    enough = F.when(F.least(F.length("a"), F.length("b")) < short, 0.8).otherwise(0.9)
+    suspect = said.where(F.col("similarity") < enough)
+    return suspect.select("cell.page", "cell.r", "cell.c", "value", "spatial", "similarity", difference(F.col("a"), F.col("b")).alias("reason"))

@@ -1,14 +1,17 @@
-"""Review overlay: cell differences, effective rows, states, audit of shared content."""
+"""Review overlay: cell differences, effective rows, states, publishing, audits of shared content."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import grid
+from ..functions import geometry as G
+from ..functions import grid, text
 
 # Older names of review decisions.
 LEGACY = {"accepted_ai": "approved", "accepted_docling": "approved", "edited": "approved", "needs_review": "unreviewed", "skipped": "ignored"}
+STATUSES = ("unreviewed", "approved", "ignored")
+ROWS = "array<array<string>>"
 
 
 def review_status(status: Column) -> Column:
@@ -17,20 +20,36 @@ def review_status(status: Column) -> Column:
     return F.coalesce(F.try_element_at(names, status), F.nullif(status, F.lit("")), F.lit("unreviewed"))
 
 
-def cell_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """tab, changed: positions where two versions of a grid differ; a missing cell counts as empty."""
+def draft_problem(status: Column, rows: Column, marked: Column) -> Column:
+    """Why a draft cannot be saved; null if it can."""
+    return (
+        F.when(~F.coalesce(status.isin(*STATUSES), F.lit(False)), "status").when(rows.isNotNull() & F.exists(rows, lambda r: r.isNull() | F.exists(r, lambda v: v.isNull())), "rows")
+        .when(marked.isNull(), "marked")
+    )
+
+
+def cell_diff(left: DataFrame, right: DataFrame, key: tuple[str, ...] = ("doc", "tab")) -> DataFrame:
+    """key, changed: positions where two versions of a grid differ; a missing cell counts as empty."""
     r = right.withColumnRenamed("value", "other")
-    both = left.join(r, ["tab", "r", "c"], "full_outer")
+    both = left.join(r, [*key, "r", "c"], "full_outer")
     changed = F.coalesce("value", F.lit("")) != F.coalesce("other", F.lit(""))
-    return both.groupBy("tab").agg(F.count_if(changed).alias("changed"))
+    return both.groupBy(*key).agg(F.count_if(changed).alias("changed"))
 
 
-def csv_profile(cells: DataFrame) -> DataFrame:
-    """tab, n_rows, width, empty, repeated: shape of a grid, empty cells, later rows equal to the first."""
-    rows = cells.groupBy("tab", "r").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]), chr(1)).alias("row"), F.count("*").alias("w"), F.count_if(F.col("value") == "").alias("empty"))
-    first = rows.groupBy("tab").agg(F.min(F.struct("r", "row")).alias("f"))
-    same = rows.join(first, "tab").withColumn("again", (F.col("row") == F.col("f.row")) & (F.col("r") > F.col("f.r")))
-    return same.groupBy("tab").agg(F.count("*").alias("n_rows"), F.max("w").alias("width"), F.sum("empty").alias("empty"), F.count_if("again").alias("repeated"))
+def csv_profile(cells: DataFrame, most: int = 10) -> DataFrame:
+    """doc, tab, n_rows, width, empty, repeated, ragged_rows, empty_cells, repeated_rows: shape of a grid; rows
+    shorter than the widest, empty cells and later rows equal to the first, the first ``most`` of each."""
+    rows = cells.groupBy("doc", "tab", "r").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]), chr(1)).alias("row"), F.count("*").alias("w"), F.sort_array(F.collect_list(F.when(F.col("value") == "", F.col("c")))).alias("blank"))
+    grids = rows.groupBy("doc", "tab").agg(F.sort_array(F.collect_list(F.struct("r", "w", "blank", "row"))).alias("x"))
+    first = F.get("x", F.lit(0))
+    width = F.array_max(F.transform("x", lambda r: r["w"]))
+    numbers = lambda keep: F.transform(F.filter("x", keep), lambda r: r["r"])
+    again = numbers(lambda r: (r["row"] == first["row"]) & (r["r"] > first["r"]))
+    blank = F.flatten(F.transform("x", lambda r: F.transform(r["blank"], lambda c: F.struct(r["r"].alias("r"), c.alias("c")))))
+    return grids.select(
+        "doc", "tab", F.size("x").cast("long").alias("n_rows"), width.alias("width"), F.size(blank).cast("long").alias("empty"), F.size(again).cast("long").alias("repeated"),
+        F.slice(numbers(lambda r: r["w"] < width), 1, most).alias("ragged_rows"), F.slice(blank, 1, most).alias("empty_cells"), F.slice(again, 1, most).alias("repeated_rows"),
+    )
 
 
 def latest_drafts(drafts: DataFrame) -> DataFrame:
@@ -39,32 +58,155 @@ def latest_drafts(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def snapshot(held: DataFrame, now: DataFrame) -> DataFrame:
+    """Source records as first seen: what ``held`` (doc, id, ..) has stays; records new to it are added."""
+    return held.unionByName(now.join(held.select("doc", "id"), ["doc", "id"], "left_anti"), allowMissingColumns=True)
+
+
 def review_summary(decisions: DataFrame) -> DataFrame:
-    """doc, n, reviewed, marked, state: decisions of a document and whether any waits to be applied."""
+    """doc, n, reviewed, modified, noted, marked: decisions of a document.
+
+    ``decisions``: doc, status, changed (cells that differ from the source), note, marked."""
     done = F.col("status").isin("approved", "ignored")
-    out = decisions.groupBy("doc").agg(F.count("*").alias("n"), F.count_if(done).alias("reviewed"), F.count_if("marked").alias("marked"), F.bool_or(done & F.col("marked")).alias("pending"), F.bool_or(done).alias("any"))
-    state = F.when(F.col("pending"), "pending_apply").when(F.col("any"), "applied").otherwise("no_apply_needed")
-    return out.select("doc", "n", "reviewed", "marked", state.alias("state"))
+    noted = F.trim(F.coalesce("note", F.lit(""))) != ""
+    return decisions.groupBy("doc").agg(
+        F.count("*").alias("n"), F.count_if(done).alias("reviewed"), F.count_if(F.col("changed") > 0).alias("modified"), F.count_if(noted).alias("noted"), F.count_if("marked").alias("marked"),
+    )
+
+
+def application_state(ai: DataFrame, current: DataFrame, drafts: DataFrame) -> DataFrame:
+    """doc, state: whether grids wait to be applied, differ from what was extracted, or neither.
+
+    All three: doc, tab, r, c, value.  A grid without cells in ``current`` is the extracted one still, one without
+    cells in ``drafts`` the current one."""
+    grids = lambda d: d.select("doc", "tab").distinct()
+    known = grids(ai)
+    now = current.unionByName(ai.join(grids(current), ["doc", "tab"], "left_anti"))
+    wanted = drafts.join(known, ["doc", "tab"], "left_semi").unionByName(now.join(grids(drafts), ["doc", "tab"], "left_anti"))
+    pending, applied = cell_diff(wanted, now), cell_diff(now, ai)
+    seen = lambda d, n: d.groupBy("doc").agg((F.sum("changed") > 0).alias(n))
+    out = known.select("doc").distinct().join(seen(pending, "pending"), "doc", "left").join(seen(applied, "applied"), "doc", "left")
+    return out.select("doc", F.when(F.col("pending"), "pending_apply").when(F.col("applied"), "applied").otherwise("no_apply_needed").alias("state"))
+
+
+def catalog(sources: DataFrame) -> DataFrame:
+    """sources, tables, reviewed, modified, marked, missing: totals of a project; sources whose files are missing
+    (available false) are counted apart and add nothing."""
+    there = F.col("available")
+    return sources.agg(F.count_if(there).alias("sources"), *(F.sum(F.when(there, F.col(c)).otherwise(0)).alias(c) for c in ("tables", "reviewed", "modified", "marked")), F.count_if(~there).alias("missing"))
+
+
+def matching_tables(tables: DataFrame, show: str = "all", words: str = "") -> DataFrame:
+    """Tables that a reviewer's filter shows, of ``tables``: doc, id, name, pages, status, changed, marked, note, state."""
+    noted = F.trim(F.coalesce("note", F.lit(""))) != ""
+    filters = {
+        "all": F.lit(True), "pending": F.col("status") == "unreviewed", "modified": F.col("changed") > 0, "marked": F.coalesce("marked", F.lit(False)), "noted": noted,
+        "ignored": F.col("status") == "ignored", "no_apply": F.col("state") == "no_apply_needed", "applied": F.col("state") == "applied",
+    }
+    label = F.lower(F.concat_ws(" ", "name", "id", text.page_label(F.col("pages"))))
+    return tables.where(filters[show] & F.contains(label, F.lit(words.strip().lower())))
+
+
+def matching_sources(sources: DataFrame, tables: DataFrame, show: str = "all", words: str = "") -> DataFrame:
+    """Sources (doc, path, name) whose path or name holds ``words`` and that have a table the filter shows."""
+    label = F.lower(F.concat_ws(" ", "path", "name"))
+    named = sources.where(F.contains(label, F.lit(words.strip().lower())))
+    return named.join(matching_tables(tables, show).select("doc").distinct(), "doc", "left_semi")
+
+
+def fragments(tables: DataFrame, layout: DataFrame) -> DataFrame:
+    """doc, id, pos, layout_id, page, status, markdown, rows: the layout tables that a table's lineage names, in order;
+    unknown ids are skipped.  ``tables``: doc, id, layout_ids; ``layout``: doc, layout_id, page, status, markdown."""
+    each = tables.select("doc", "id", F.posexplode("layout_ids").alias("pos", "layout_id"))
+    out = each.join(layout.select("doc", "layout_id", "page", "status", "markdown"), ["doc", "layout_id"])
+    return out.select("doc", "id", "pos", "layout_id", "page", "status", "markdown", grid.first_table(F.col("markdown")).alias("rows"))
+
+
+def regions(tables: DataFrame, layout: DataFrame) -> DataFrame:
+    """doc, id, page, box: where a table stands on each page: its own boxes, its main one on its page, and those of
+    its layout tables on pages that have none.  ``tables``: doc, id, page, box, boxes (map), layout_ids."""
+    own = tables.select("doc", "id", F.explode("boxes").alias("page", "box"), F.lit(0).alias("rank"))
+    main = tables.select("doc", "id", "page", "box", F.lit(1).alias("rank"))
+    each = tables.select("doc", "id", F.posexplode("layout_ids").alias("pos", "layout_id"))
+    other = each.join(layout.select("doc", "layout_id", "page", "box"), ["doc", "layout_id"]).select("doc", "id", "page", "box", (F.col("pos") + 2).alias("rank"))
+    every = own.unionByName(main).unionByName(other).where("box is not null")
+    return every.groupBy("doc", "id", "page").agg(F.min_by("box", "rank").alias("box"))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """doc, id, rows: a table's fragments, one below the other, as one grid."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "rows"))), lambda x: x["rows"])
+    return parts.groupBy("doc", "id").agg(listed.alias("x")).select("doc", "id", grid.stitched(F.col("x")).alias("rows"))
+
+
+def detail(tables: DataFrame, drafts: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc, id, ai_rows, current_rows, rows, layout_rows, status, differences, manual_differences: one table as a
+    reviewer sees it.  ``tables``: doc, id, ai_rows, current_rows; ``drafts``: doc, tab, rows, status."""
+    d = drafts.select("doc", F.col("tab").alias("id"), F.col("rows").alias("drafted"), review_status(F.col("status")).alias("status"))
+    lay = combined(parts).withColumnRenamed("rows", "layout_rows")
+    out = tables.join(d, ["doc", "id"], "left").join(lay, ["doc", "id"], "left").withColumn("layout_rows", F.coalesce("layout_rows", F.array().cast(ROWS)))
+    out = out.withColumn("rows", F.coalesce("drafted", "current_rows", "ai_rows"))
+    count = lambda a, b: F.size(grid.changed_cells(F.col(a), F.col(b))).cast("long")
+    return out.select(
+        "doc", "id", "ai_rows", F.coalesce("current_rows", "ai_rows").alias("current_rows"), "rows", "layout_rows", F.coalesce("status", F.lit("unreviewed")).alias("status"),
+        count("ai_rows", "layout_rows").alias("differences"), count("rows", "ai_rows").alias("manual_differences"),
+    )
+
+
+def shared_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc, tab, other, n_shared, own: grids of one document that share cells; ``a`` and ``b``: doc, tab, value."""
+    left, right = a.select("doc", "tab", "value").distinct(), b.select("doc", F.col("tab").alias("other"), "value").distinct()
+    own = left.groupBy("doc", "tab").agg(F.count("*").alias("own"))
+    pairs = left.join(right, ["doc", "value"]).groupBy("doc", "tab", "other").agg(F.count("*").alias("n_shared"))
+    return pairs.join(own, ["doc", "tab"])
 
 
 def content_overlap(a: DataFrame, b: DataFrame, shared: int = 3, recall: float = 0.45) -> DataFrame:
-    """tab, other, n_shared, recall: for each grid of ``a`` the grid of ``b`` that has most of its useful cells.
-
-    A cell is useful from two characters on.  Candidates meet on shared values within ``near`` keys."""
-    useful = lambda d: d.where(F.length("value") >= 2).select("near", "tab", "value").distinct()
-    left, right = useful(a), useful(b).withColumnRenamed("tab", "other")
-    own = left.groupBy("tab").agg(F.count("*").alias("own"))
-    pairs = left.join(right, ["near", "value"]).where("tab <> other").groupBy("tab", "other").agg(F.count("*").alias("n_shared")).join(own, "tab")
-    good = pairs.withColumn("recall", F.col("n_shared") / F.col("own")).where((F.col("n_shared") >= shared) & (F.col("recall") >= recall))
-    order = Window.partitionBy("tab").orderBy(F.desc("recall"), F.desc("n_shared"), F.abs(F.col("tab") - F.col("other")), "other")
-    return good.withColumn("n", F.row_number().over(order)).where("n = 1").select("tab", "other", "n_shared", "recall")
-
-
-def transition_pages(tables: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """page, id, below: last pages of spanning tables that also start another table below them."""
-    spans = tables.where("more > 0").select((F.col("page") + F.col("more")).alias("page"), F.col("id").alias("span"), F.col("bottom").alias("edge"))
-    meet = spans.join(tables.select("page", "id", "top"), "page").where((F.col("top") >= F.col("edge") - tolerance) & (F.col("id") != F.col("span")))
-    return meet.groupBy("page", F.col("span").alias("id")).agg(F.count("*").alias("below"))
+    """doc, tab, other, n_shared, recall: for each grid of ``a`` the grid of ``b`` that has most of its useful cells.
+
+    Both: doc, tab, page, value (cell keys).  Grids meet on equal cells inside of a document; the best has the
+    largest recall, then most shared cells, then the nearest page, then the smallest id."""
+    useful = lambda d: d.where(text.useful(F.col("value")))
+    pages = a.groupBy("doc", "tab").agg(F.min("page").alias("page")), b.groupBy("doc", F.col("tab").alias("other")).agg(F.min("page").alias("there"))
+    good = shared_cells(useful(a), useful(b)).where("tab <> other").withColumn("recall", F.col("n_shared") / F.col("own"))
+    good = good.where((F.col("n_shared") >= shared) & (F.col("recall") >= recall)).join(pages[0], ["doc", "tab"]).join(pages[1], ["doc", "other"])
+    order = Window.partitionBy("doc", "tab").orderBy(F.desc("recall"), F.desc("n_shared"), F.abs(F.col("page") - F.col("there")), "other")
+    return good.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc", "tab", "other", "n_shared", "recall")
+
+
+def number_match(lost: DataFrame, tables: DataFrame, reach: int = 5) -> DataFrame:
+    """doc, tab, other: grids without an overlap whose text names the number of exactly one table near their page.
+
+    ``lost``: doc, tab, page, text; ``tables``: doc, other, there (page), name."""
+    left = lost.select("doc", "tab", "page", text.table_number(F.col("text")).alias("number"))
+    right = tables.select("doc", "other", "there", text.table_number(F.coalesce("name", F.lit(""))).alias("number"))
+    near = left.join(right, ["doc", "number"]).where(F.abs(F.col("page") - F.col("there")) <= reach)
+    one = near.groupBy("doc", "tab").agg(F.count("*").alias("n"), F.min("other").alias("other"))
+    return one.where("n = 1").select("doc", "tab", "other")
+
+
+def transition_pages(tables: DataFrame, blocks: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """doc, id, page, others, markers, confidence: last pages of spanning tables that hold another table too.
+
+    ``tables``: doc, id, pages, and a box on the last page; ``blocks``: doc, page, ord, kind, a box, markdown.  Another
+    agent table below makes it sure; a section header or a table's title between the table's end and a lower
+    layout table makes it a candidate."""
+    spans = tables.where(F.size("pages") > 1).select("doc", F.col("id").alias("span"), F.element_at("pages", -1).alias("page"), F.col("top").alias("t_top"), F.col("bottom").alias("t_bottom"))
+    others = tables.select("doc", "id", F.explode("pages").alias("page"), "x0", "top", "x1", "bottom")
+    upper = G.Box(None, F.col("t_top"), None, F.col("t_bottom"))
+    meet = spans.join(others, ["doc", "page"]).where((F.col("id") != F.col("span")) & G.is_below(upper, G.box(), tolerance))
+    sure = meet.groupBy("doc", "span", "page").agg(F.sort_array(F.collect_set("id")).alias("others"))
+    here = spans.join(blocks.select("doc", "page", "ord", "kind", "top", "bottom", "markdown"), ["doc", "page"])
+    lower = here.where((F.col("kind") == "table") & (F.col("top") >= F.col("t_bottom") - tolerance) & (F.col("top") > F.col("t_top") + tolerance))
+    lowest = lower.groupBy("doc", "span", "page").agg(F.max("top").alias("low"))
+    titled = (F.col("kind") == "section_header") | F.rlike("markdown", F.lit(text.TABLE_NUMBER))
+    between = here.where((F.col("kind") != "table") & titled & (F.col("top") >= F.col("t_bottom") - tolerance)).join(lowest, ["doc", "span", "page"]).where(F.col("bottom") <= F.col("low") + tolerance)
+    marks = between.groupBy("doc", "span", "page").agg(F.sort_array(F.collect_set("ord")).alias("markers"))
+    out = sure.join(marks, ["doc", "span", "page"], "full_outer")
+    return out.select(
+        "doc", F.col("span").alias("id"), "page", F.coalesce("others", F.array().cast("array<bigint>")).alias("others"), F.coalesce("markers", F.array().cast("array<int>")).alias("markers"),
+        F.when(F.size("others") > 0, "high").otherwise("candidate").alias("confidence"),
+    )
 
 
 def effective_rows(tables: DataFrame, drafts: DataFrame) -> DataFrame:

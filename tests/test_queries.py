@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import grid, text
-from folioflow.operators import candidates, matching
+from folioflow.operators import candidates
 from folioflow.plans import catalogue
 from folioflow.sources import readers
 from folioflow.streaming import usage
@@ -34,8 +34,8 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_greedy_match_is_one_to_one(spark):
-    got = catalogue.best_match(spark, SF).where("ord is not null")
-    assert got.count() == got.select("page", "ord").distinct().count()
+    got = catalogue.QUERIES["best_match"](spark, SF).where("ord is not null")
+    assert got.count() == got.select("doc", "page", "ord").distinct().count()
 
 
 def test_box_overlap_and_centre(spark):
@@ -49,6 +49,8 @@ def test_page_lists(spark):
     df = spark.createDataFrame(list(enumerate(specs)), "id int, spec string")
     got = [r.pages for r in candidates.page_selection(df).orderBy("id").collect()]
     assert got == [[1, 3, 8, 9, 10, 11, 12], [1, 3], None, None, None, None, None, None, [4]]
+    far = spark.createDataFrame([(1, "1-2000000000"), (2, "9")], "id int, spec string")
+    assert {r.id: (r.pages, r.problem) for r in candidates.page_selection(far, 10).collect()} == {1: (None, "beyond_last_page"), 2: ([9], None)}
 
 
 def test_grids(spark):
@@ -65,15 +67,10 @@ def test_text(spark):
     assert tuple(row) == ("A-b-c", "12", "###### T", "AB")
 
 
-def test_absorption_takes_first_claim(spark):
-    tables = spark.createDataFrame([(1, 10, 1, 0, 0, 0, 50, 50), (1, 11, 2, 0, 0, 0, 50, 50)], "page int, id bigint, k int, more int, x0 int, top int, x1 int, bottom int")
-    blocks = spark.createDataFrame([(1, 1, "text", 10, 10, 20, 20), (1, 2, "caption", 10, 10, 20, 20)], "page int, ord int, kind string, x0 int, top int, x1 int, bottom int")
-    assert [tuple(r) for r in matching.absorbed_blocks(tables, blocks).collect()] == [(1, 1, 10)]
-
-
 def test_csv_reader_keeps_ragged_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿a,b\n"x\ny"\n'.encode())
-    assert readers.csv_grids(spark, str(tmp_path)).first().rows == [["a", "b"], ["x\ny"]]
+    assert readers.csv_grids(spark, str(tmp_path), pad=False).first().rows == [["a", "b"], ["x\ny"]]
+    assert readers.csv_grids(spark, str(tmp_path)).first().rows == [["a", "b"], ["x\ny", ""]]
 
 
 def test_event_log(spark, tmp_path):

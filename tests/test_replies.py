@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import audit, images, replies
+from folioflow.operators import audit, pages, replies
 
 NUMBERS = "array<int>"
 
@@ -67,7 +67,8 @@ def test_image_matching(spark):
     box = "x0 double, top double, x1 double, bottom double"
     seen = [(1, 1, 0.0, 0.0, 10.0, 10.0, ["b"]), (1, 2, 0.0, 0.0, 10.0, 10.0, []), (1, 3, 50.0, 0.0, 60.0, 10.0, ["c", "d"]), (1, 4, 0.0, 0.0, 10.0, 10.0, None), (2, 1, 0.0, 0.0, 1.0, 1.0, ["z"])]
     pictures = [(1, p, i, x, 0.0, x + 10, 10.0) for i, (p, x) in enumerate([("a", 0.0), ("b", 100.0), ("c", 50.0), ("d", 55.0)])]
-    got = images.match_images(spark.createDataFrame(seen, f"page int, image int, {box}, ids array<string>"), spark.createDataFrame(pictures, f"page int, picture string, ord int, {box}"))
+    seen = spark.createDataFrame(seen, f"page int, image int, {box}, ids array<string>").withColumn("doc", F.lit(1))
+    got = pages.match_images(seen, spark.createDataFrame(pictures, f"page int, picture string, ord int, {box}").withColumn("doc", F.lit(1)))
     assert sorted((r.page, r.image, r.action, r.picture or "", r.score) for r in got.collect()) == [
         (1, 1, "matched", "b", 0.0), (1, 2, "matched", "a", 1.0), (1, 3, "merged", "c", 1.0), (1, 3, "merged", "d", 0.5), (1, 3, "new", "", 0.0), (1, 4, "new", "", 0.0), (2, 1, "new", "", 0.0),
     ]
@@ -90,6 +91,6 @@ def test_cell_guard(spark):
 
 def test_repeated_cells(spark):
     grid = ["aab", "cab", "c  "]
-    cells = spark.createDataFrame([(1, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)], "tab int, r int, c int, value string")
+    cells = spark.createDataFrame([(1, 1, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)], "doc int, tab int, r int, c int, value string")
     got = {(x.r, x.c): x.tone for x in audit.repeated_cells(cells).collect()}
     assert got == {(0, 0): 0, (0, 1): 0, (1, 1): 0, (0, 2): 1, (1, 2): 1, (1, 0): 2, (2, 0): 2}
