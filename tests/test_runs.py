@@ -119,7 +119,7 @@ def test_review_states_filters_and_fragments(spark):
     assert ids("all") == ["t1", "t2"] and ids("pending") == ["t1"] and ids("modified") == ids("marked") == ids("noted") == ids("ignored") == ids("no_apply") == ["t2"] and ids("all", "p1–2") == ["t1"]
     sources = spark.createDataFrame([(1, "a/B.pdf", "b"), (2, "c.pdf", "c")], "doc int, path string, name string")
     assert [r.doc for r in review.matching_sources(sources, tables, "pending", " b ").collect()] == [1]
-    layout = spark.createDataFrame([(1, "l1", 1, "replaced", "x\n\n| a | b |\n|---|:-:|\n| 1 |\n| 2 | 3 | 4 |\nend", "B1"), (1, "l2", 2, "absorbed", "| A | b |\n|---|---|\n| 5 | 6 |", "B2")], "doc int, layout_id string, page int, status string, markdown string, box string")
+    layout = spark.createDataFrame([(1, "l1", 1, "replaced", "x\n\n| a | b |\n|---|:---:|\n| 1 |\n| 2 | 3 | 4 |\nend", "B1"), (1, "l2", 2, "absorbed", "| A | b |\n|---|---|\n| 5 | 6 |", "B2")], "doc int, layout_id string, page int, status string, markdown string, box string")
     owner = spark.createDataFrame([(1, "t1", ["l1", "gone", "l2"], 1, "M", {3: "X"}, [["a", "b"], ["1", ""]], None)], f"doc int, id string, layout_ids array<string>, page int, box string, boxes map<int,string>, ai_rows {ROWS}, current_rows {ROWS}")
     parts = review.fragments(owner, layout)
     assert [(r.layout_id, r.rows) for r in parts.orderBy("pos").collect()] == [("l1", [["a", "b"], ["1", ""], ["2", "3"]]), ("l2", [["A", "b"], ["5", "6"]])]
