@@ -81,4 +81,6 @@ def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, least:
     text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
     n = F.when(F.col("own.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
-    return docs.select(*((text if c == "text" else F.col("own")[c]).alias(c) for c in columns), n.alias("n_lines"), removed.alias("n_removed"))
+    # one struct first: no column's name can stand for another's in it
+    whole = F.struct(*((text if c == "text" else F.col("own")[c]).alias(c) for c in columns), n.alias("n_lines"), removed.alias("n_removed"))
+    return docs.select(whole.alias("own")).select(*(F.col("own")[c].alias(c) for c in (*columns, "n_lines", "n_removed")))

@@ -277,10 +277,14 @@ class Records:
             top, blank, block = piece.partition(b"\r\n\r\n")
             if not start:
                 raise ValueError(f"no record starts at a piece of {path}: a block holds a record separator where the file was split; compress the file, or raise spark.sql.files.maxPartitionBytes")
+            if not blank:
+                raise ValueError(f"{path}: a record is cut short in its header")
             lines = (x.partition(":") for x in top[start.end() :].decode("utf-8", "replace").split("\r\n"))
             self.head = {n.strip().lower(): v.strip() for n, colon, v in lines if colon}
             self.path, self.held = path, block
-        size = int(self.head.get("content-length") or 0)
+        if not self.head.get("content-length"):
+            raise ValueError(f"{path}: a record does not say how long it is")
+        size = int(self.head["content-length"])
         self.missing = max(0, size - len(self.held))
         return None if self.missing else (self.head, self.held[:size])
 
