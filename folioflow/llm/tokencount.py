@@ -83,14 +83,15 @@ def _counts(path: str, packed: bytes) -> Counts:
 
 
 def frequent_lengths(df: DataFrame, path: str, docs: int = SAMPLE_DOCS, words: int = TABLE_WORDS) -> bytes:
-    """The packed table of at most ``words`` frequent pre-tokens of about ``docs`` texts, none longer
-    than SAMPLE_CHARS.  Which texts are taken depends on the texts alone."""
-    texts = df.where(F.length("text") <= SAMPLE_CHARS).select("text")
+    """The packed table of at most ``words`` frequent pre-tokens of about ``docs`` different texts,
+    none longer than SAMPLE_CHARS.  Which texts are taken depends on the texts alone."""
+    texts = df.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("text").alias("h"))
     share = min(1.0, docs / max(1, df.count()))
-    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * docs).collect()
+    low = texts.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = low.groupBy("h").agg(F.min("text").alias("text")).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(2 * docs).collect()
     c, seen = Counts(path, {}), Counter()
-    for (text,) in rows:
-        seen.update(c.words(text))
+    for r in rows:
+        seen.update(c.words(r.text))
     table = {w: c.lengths[w] for w, n in seen.most_common(words) if n > 1 and len(w) <= 64}
     return zlib.compress(pickle.dumps(table), 1)
 
