@@ -1,24 +1,4 @@
-"""Schemas (DDL) of the engine's entities.  Readers apply them; nothing is inferred."""
+"""Schemas (DDL) that readers apply; nothing is inferred."""
+
 BBOX = "struct<x0:double,top:double,x1:double,bottom:double>"
-SOURCE_DOCS = ("doc_id string, file string, path string, sha256 string, page_count int, selected_pages array<int>")
-BLOCKS = (f"doc_id string, id string, page int, ord int, kind string, markdown string, bbox {BBOX}, source_ref string")
-DETECTIONS = (
-    "doc_id string, page int, has_table boolean, table_count_estimate int, regions array<struct<top:double,bottom:double>>, "
-    "may_merge_with_previous boolean, confidence double, reason string, has_image boolean, image_count_estimate int, "
-    "image_kinds array<string>, image_confidence double, image_reason string"
-)
-CANDIDATES = ("doc_id string, page int, src string, tables_found int, lines_and_rects int, suspicious boolean")
-AGENT_TABLES = (
-    f"doc_id string, id string, page int, source_pages array<int>, page_table_index int, name string, header_rows int, bbox {BBOX}, "
-    f"page_bboxes map<string,{BBOX}>, rows array<array<string>>, extra_csvs array<string>"
-)
-LINEAGE_EDGES = ("doc_id string, table_id string, layout_table_id string, block_id string, method string, overlap double")
-AGENT_EVENTS = (
-    "doc_id string, stage string, job string, seq long, type string, role string, text string, input long, cache_read long, cache_write long, output long, cost double"
-)
-TASK_STATES = (
-    "doc_id string, task string, status string, signature string, started_at timestamp, completed_at timestamp, elapsed_seconds double, outputs array<string>"
-)
-DECISIONS = ("doc_id string, table_id string, status string, selected_source string, note string, marked boolean, rows array<array<string>>, updated_at timestamp")
-CELLS = ("doc_id string, table_id string, version string, r int, c int, value string")
-ISSUES = ("doc_id string, severity string, rule string, subject string, message string")
+BLOCKS = f"doc_id string, id string, page int, ord int, kind string, markdown string, bbox {BBOX}, source_ref string"

@@ -84,3 +84,13 @@ def test_streaming_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     usage.drain(usage.live_usage(stream), "live")
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, usage.live_usage(events).collect()))
+
+
+def test_windows_and_turned_boxes(spark, tmp_path):
+    events = spark.sql("select timestamp_ntz'2024-01-01 10:05:00' as ts, 'a' as stage, 2L as tokens union all select timestamp_ntz'2024-01-01 10:55:00', 'a', 3L union all select timestamp_ntz'2024-01-01 11:05:00', 'a', 4L")
+    events.write.parquet(str(tmp_path / "e"))
+    usage.drain(usage.windowed_usage(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))), "hours")
+    assert sorted((r.start.hour, r.events, r.tokens) for r in spark.table("hours").collect()) == [(10, 2, 5), (11, 1, 4)]
+    b = G.Box(*(F.lit(float(v)) for v in (10, 20, 30, 60)))
+    turned = [tuple(spark.range(1).select(*G.rotated(b, F.lit(d), F.lit(100.0), F.lit(200.0))).first()) for d in (0, 90, 180, 270)]
+    assert turned == [(10, 20, 30, 60), (140, 10, 180, 30), (70, 140, 90, 180), (20, 70, 60, 90)]
