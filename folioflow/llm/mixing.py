@@ -33,7 +33,7 @@ NEAR = 1e-3
 #: Rates are whole multiples of 1 / UNITS, so that sums of them do not depend on their order.
 UNITS = 10**9
 #: Bits of the order of further copies, and bits that one pass's digit has.
-HASH, FRACTION, TIES, DIGIT = 40, 6, 14, 15
+HASH, FRACTION, TIES, DIGIT = 40, 6, 14, 10
 #: Sources that one range holds, on average, when sources are ranked.
 RANGE = 200_000
 BIG = "decimal(38,0)"
