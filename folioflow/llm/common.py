@@ -44,20 +44,21 @@ class Scratch:
     was written, but for the frames that a lazy result still reads."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths = spark, []
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/folioflow/{label}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[path] = out
+        out.folio_path = path  # frames know their place, so that none is held here
+        self.paths.append(path)
         return out
 
     def discard(self, *keep: DataFrame) -> None:
-        held = {id(df) for df in keep}
-        for path in [p for p, df in self.paths.items() if id(df) not in held]:
+        held = {df.folio_path for df in keep}
+        for path in [p for p in self.paths if p not in held]:
             remove(self.spark, path)
-            del self.paths[path]
+        self.paths = [p for p in self.paths if p in held]
 
 
 def remove(spark: SparkSession, path: str) -> None:
