@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["doc", "page"]
-SPEC = r"^\s*[1-9][0-9]{0,8}(-[1-9][0-9]{0,8})?\s*$"
+SPEC = r"^\s*[1-9][0-9]{0,17}(-[1-9][0-9]{0,17})?\s*$"
 
 
 def page_selection(specs: DataFrame, most: int | Column = 100_000) -> DataFrame:
@@ -19,12 +19,12 @@ def page_selection(specs: DataFrame, most: int | Column = 100_000) -> DataFrame:
     list is longer than its document."""
     bound = most if isinstance(most, Column) else F.lit(most)
     parts = F.split("spec", ",")
-    low = lambda p: F.split_part(F.trim(p), F.lit("-"), F.lit(1)).try_cast("int")
-    high = lambda p: F.coalesce(F.nullif(F.split_part(F.trim(p), F.lit("-"), F.lit(2)), F.lit("")).try_cast("int"), low(p))
+    low = lambda p: F.split_part(F.trim(p), F.lit("-"), F.lit(1)).try_cast("bigint")
+    high = lambda p: F.coalesce(F.nullif(F.split_part(F.trim(p), F.lit("-"), F.lit(2)), F.lit("")).try_cast("bigint"), low(p))
     formed = F.coalesce(F.forall(parts, lambda p: F.rlike(p, F.lit(SPEC)) & (high(p) >= low(p))), F.lit(False))
     inside = F.forall(parts, lambda p: high(p) <= bound)
     problem = F.when(~formed, "not_a_page_list").when(~inside, "beyond_last_page")
-    listed = F.sort_array(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))))
+    listed = F.sort_array(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p).cast("int"), high(p).cast("int"))))))
     return specs.select("id", F.when(problem.isNull(), listed).alias("pages"), problem.alias("problem"))
 
 
