@@ -9,6 +9,7 @@ from ..functions import grid, text
 from ..operators import audit, candidates, memo, regions, replies, review, usage, validate
 from ..sources.adapters import VIEWS, sql_of, view
 from . import pages as _pages  # noqa: F401  (registers its queries)
+from . import records as _records  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 
 FLAGSHIP = "insertion_slot"

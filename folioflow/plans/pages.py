@@ -250,17 +250,33 @@ entries as (
 texts as (select doc, page, rtrim('<!-- page:' || page || ' -->' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) order by place, rank), '')) as markdown from entries group by doc, page)"""
 
 
-def assembled(spark, sf) -> DataFrame:
-    """doc, page, markdown of the views, through all stages of the merge."""
+def stages(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(merged pages, headings) of the views."""
     tables, blocks = both(spark, sf)
     seen, (edges, continued, _) = images(spark, sf), relations(spark, sf)
     hidden = pages.hidden_before_tables(blocks, seen, continued.where("id is not null"), text.normalised)
     titles = lineage.numbered_headings(pages.contained_captions(blocks, text.normalised), blocks, edges, text.numbered_title)
-    merged = pages.with_images(pages.merges(pages.page_frame(tables, blocks, seen, "markdown"), hidden))
-    texts = tables.select("doc", "id", F.concat(F.lit("T"), "id").alias("markdown"), (F.col("page") + F.col("more")).alias("last_page"))
+    return pages.with_images(pages.merges(pages.page_frame(tables, blocks, seen, "markdown"), hidden)), titles
+
+
+def assembled(spark, sf) -> DataFrame:
+    """doc, page, markdown of the views, through all stages of the merge."""
+    merged, titles = stages(spark, sf)
+    texts = both(spark, sf)[0].select("doc", "id", F.concat(F.lit("T"), "id").alias("markdown"), (F.col("page") + F.col("more")).alias("last_page"))
     return pages.page_markdown(merged, texts, titles)
 
 
+@query(_ASSEMBLY + " select doc, page, id as image, ord from held where n = 1")
+def image_absorption(spark, sf):
+    each = stages(spark, sf)[0].select("doc", "page", F.inline("image_merges"))
+    return each.select("doc", "page", "image", F.explode("absorbed").alias("ord"))
+
+
+@query(_ASSEMBLY + " select * from titles")
+def numbered_headings(spark, sf):
+    return stages(spark, sf)[1]
+
+
 @query(_ASSEMBLY + " select doc, page, sha256(markdown) as markdown_sha256 from texts")
 def page_assembly(spark, sf):
     return assembled(spark, sf).select("doc", "page", F.sha2("markdown", 256).alias("markdown_sha256"))
