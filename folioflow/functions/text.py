@@ -200,3 +200,14 @@ def scrubbed(text: Column, roots: dict[str, str]) -> Column:
     for root in sorted(roots, key=len, reverse=True):
         text = F.replace(text, F.lit(root), F.lit(roots[root]))
     return text
+
+
+def utc_text(at: Column) -> Column:
+    """A timestamp as ISO text in UTC, to the microsecond."""
+    zone = F.current_timezone()
+    return F.date_format(F.convert_timezone(zone, F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, 3 places; never below 0."""
+    return F.greatest(F.lit(0.0), F.bround((F.unix_micros(end) - F.unix_micros(start)) / 1e6, 3))

@@ -28,3 +28,8 @@ def drain(df: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def live_status(reports: DataFrame) -> DataFrame:
+    """doc, done, tokens: counters of runs as reports come in; none ever falls, whatever a late report says."""
+    return reports.groupBy("doc").agg(F.max("done").alias("done"), F.max("tokens").alias("tokens"))
