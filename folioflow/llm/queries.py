@@ -56,9 +56,20 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")), key="page_id")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_url_filter gives beside the classifier's verdicts, which SQL cannot say."""
+    judged = op3_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_quality_rules gives beside the trees' verdicts, which SQL cannot say."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "probability")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_language_id, op3_url_filter, op4_line_dedup, op5_near_duplicates,
-    op6_quality_rules, op7_byte_bpe, op8_token_counts, op9_topk_search, op10_warc_derivatives,
+    op6_quality_rules, op7_byte_bpe, op8_token_counts, op9_topk_search, op10_warc_derivatives, url_rules, quality_counts,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -115,5 +126,23 @@ linked as (select *, md5(record_type || '|' || refers_to) as h from records)
 select page_id, record_type, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as record_id, refers_to,
        url as target_uri, '2024-01-01T00:00:00Z' as warc_date, content_type, payload_digest, 'sha256:' || sha256(block) as block_digest, strlen(block)::bigint as content_length, block
 from linked
+""",
+    "url_rules": """
+with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+f as (select *, case when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/en/') then 'example.net/en/' when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or suffix(host, '.org')) and prefix(path, '/fr/') then 'org/fr/' when (host = 'net' or suffix(host, '.net')) and prefix(path, '/') then 'net/' end as rule from p)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end as rule_verdict from f
+""",
+    "quality_counts": rf"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from documents),
+windows as (select doc_id, i, array_to_string(words[i:i + 4], chr(1)) as s from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from windows) where n > 1),
+inside as (select doc_id, count(distinct i + d) as n from twice, range(0, 5) r(d) group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(i.n, 0)::bigint as n_repeat_words, len(words) < 10 or 100 * coalesce(i.n, 0) > 20 * len(words) as base_failed
+from w left join inside i using (doc_id)
 """,
 }
