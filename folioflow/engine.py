@@ -78,7 +78,7 @@ def tasks(options: Options) -> list[Task]:
     def page_texts(f: dict) -> DataFrame:
         edges = lineage.edges(f["claims"], f["lineage"])
         titles = lineage.numbered_headings(pages.contained_captions(f["blocks"], text.normalised), f["blocks"], edges, text.numbered_title)
-        own = f["tables"].select("doc", "id", "markdown", F.array_max("pages").alias("last_page"))
+        own = f["tables"].select(*pages.KEY, "id", "markdown", F.array_max("pages").alias("last_page"))
         made = pages.page_markdown(f["merged"], own, titles)
         empty = F.format_string("<!-- page:%d -->", "page")
         return f["pages"].join(made, pages.KEY, "left").select(*pages.KEY, F.coalesce("markdown", empty).alias("markdown"))

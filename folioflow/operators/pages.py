@@ -223,11 +223,11 @@ def page_markdown(frame: DataFrame, texts: DataFrame, headings: DataFrame | None
     """doc, page, markdown of pages from with_images(), whose blocks have markdown.
 
     At one place tables come first, then images that stand for no block, then blocks.  Images: pos, id, block (the
-    block they stand for, or null), caption, included, slot, text (their Markdown).  ``texts``: doc, id,
-    markdown, last_page of tables; ``headings``: doc, page, ord, heading of numbered captions that precede the
+    block they stand for, or null), caption, included, slot, text (their Markdown).  ``texts``: doc, page, id,
+    markdown, last_page of tables on their first page; ``headings``: doc, page, ord, heading of numbered captions that precede the
     table that replaces block ord."""
-    named = texts.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("bigint"), F.struct("markdown", "last_page")))).alias("texts"))
-    out = frame.join(named, "doc", "left")
+    named = texts.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("bigint"), F.struct("markdown", "last_page")))).alias("texts"))
+    out = frame.join(named, KEY, "left")
     if headings is not None:
         said = headings.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ord").cast("int"), "heading"))).alias("headings"))
         out = out.join(said, KEY, "left")

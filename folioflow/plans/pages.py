@@ -262,7 +262,7 @@ def stages(spark, sf) -> tuple[DataFrame, DataFrame]:
 def assembled(spark, sf) -> DataFrame:
     """doc, page, markdown of the views, through all stages of the merge."""
     merged, titles = stages(spark, sf)
-    texts = both(spark, sf)[0].select("doc", "id", F.concat(F.lit("T"), "id").alias("markdown"), (F.col("page") + F.col("more")).alias("last_page"))
+    texts = both(spark, sf)[0].select("doc", "page", "id", F.concat(F.lit("T"), "id").alias("markdown"), (F.col("page") + F.col("more")).alias("last_page"))
     return pages.page_markdown(merged, texts, titles)
 
 

@@ -163,7 +163,7 @@ def test_images_absorb_text_once_and_hidden_ones_nothing(spark):
     out = pages.with_images(pages.merges(frame))
     (row,) = out.collect()
     assert [(m.image, m.absorbed) for m in row.image_merges] == [("image-0001", [2])] and row.gone == [2]
-    texts = spark.createDataFrame([], "doc int, id long, markdown string, last_page int")
+    texts = spark.createDataFrame([], "doc int, page int, id long, markdown string, last_page int")
     page = pages.page_markdown(out, texts)
     assert page.first().markdown == "<!-- page:1 -->\n\n![a](x)\n\nH\n\n![b](y)\n\nout"
     assert pages.documents(page).first().markdown.endswith("out\n")
