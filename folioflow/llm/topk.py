@@ -232,10 +232,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, cell: int = CELL, chun
     waiting = home.join(ranked, "qkey", "left").withColumn("floor", F.coalesce(F.col("bar") - 1e-9 * F.abs("bar"), F.lit(float("-inf"))))
     waiting = scratch.write(waiting.select("qkey", "vec_id", "v", "times", "dim", F.col("cell").alias("own_cell"), "floor"), "waiting")
 
-    # term maxima and minima of each cell, from all of its entries
-    terms = salted.select("dim", "cell", F.posexplode("v").alias("term", "w")).groupBy("dim", "cell", "term").agg(F.max("w").alias("high"), F.min("w").alias("low"))
-    listed = F.sort_array(F.collect_list(F.struct("term", "high", "low")))
-    extremes = terms.groupBy("dim", "cell").agg(listed.alias("x")).select("dim", "cell", F.col("x.high").alias("high"), F.col("x.low").alias("low"))
+    # term maxima and minima of each cell, from all of its entries; a cell is of bounded size
+    def widest(t: pa.Table) -> pa.Table:
+        v = matrix(t["v"], t.num_rows)
+        one = {"dim": pa.array([v.shape[1]], pa.int32()), "cell": t["cell"].slice(0, 1).combine_chunks()}
+        return pa.table(one | {n: pa.array([f(v, axis=0)], pa.list_(pa.float64())) for n, f in (("high", np.max), ("low", np.min))})
+
+    extremes = salted.select("cell", "v").groupBy("cell").applyInArrow(widest, "dim int, cell long, high array<double>, low array<double>")
     extremes = scratch.write(extremes, "bounds")
     groups, chunks = max(1, -(-extremes.count() // GROUP)), max(1, -(-waiting.count() // chunk))
     left = waiting.withColumn("chunk", _deal(F.lit(chunks), "qkey")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
