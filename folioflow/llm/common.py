@@ -67,11 +67,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` under the shared folder and reads it back; for tables that a result reads."""
-    return Scratch(df.sparkSession).write(df, label)
-
-
 def word_count(text: Column) -> Column:
     """Words of ``text``; 0 for null.  Counts word starts, so no array of words is built."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
