@@ -37,8 +37,9 @@ def cell_diff(left: DataFrame, right: DataFrame, key: tuple[str, ...] = ("doc",
 
 
 def csv_profile(cells: DataFrame, most: int = 10) -> DataFrame:
-    """doc, tab, n_rows, width, empty, repeated, ragged_rows, empty_cells, repeated_rows: shape of a grid; rows
-    shorter than the widest, empty cells and later rows equal to the first, the first ``most`` of each."""
+    """doc, tab, n_rows, width, header, sample, last, empty, repeated, ragged_rows, empty_cells, repeated_rows: shape of
+    a grid, its first row, the three after it and its last one; rows shorter than the widest, empty cells and later
+    rows equal to the first, the first ``most`` of each."""
     rows = cells.groupBy("doc", "tab", "r").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "value"))), lambda x: x["value"]), chr(1)).alias("row"), F.count("*").alias("w"), F.sort_array(F.collect_list(F.when(F.col("value") == "", F.col("c")))).alias("blank"))
     grids = rows.groupBy("doc", "tab").agg(F.sort_array(F.collect_list(F.struct("r", "w", "blank", "row"))).alias("x"))
     first = F.get("x", F.lit(0))
@@ -46,8 +47,9 @@ def csv_profile(cells: DataFrame, most: int = 10) -> DataFrame:
     numbers = lambda keep: F.transform(F.filter("x", keep), lambda r: r["r"])
     again = numbers(lambda r: (r["row"] == first["row"]) & (r["r"] > first["r"]))
     blank = F.flatten(F.transform("x", lambda r: F.transform(r["blank"], lambda c: F.struct(r["r"].alias("r"), c.alias("c")))))
+    cells = lambda r: F.split(r["row"], chr(1))
     return grids.select(
-        "doc", "tab", F.size("x").cast("long").alias("n_rows"), width.alias("width"), F.size(blank).cast("long").alias("empty"), F.size(again).cast("long").alias("repeated"),
+        "doc", "tab", F.size("x").cast("long").alias("n_rows"), width.alias("width"), cells(first).alias("header"), F.transform(F.slice("x", 2, 3), cells).alias("sample"), cells(F.element_at("x", -1)).alias("last"), F.size(blank).cast("long").alias("empty"), F.size(again).cast("long").alias("repeated"),
         F.slice(numbers(lambda r: r["w"] < width), 1, most).alias("ragged_rows"), F.slice(blank, 1, most).alias("empty_cells"), F.slice(again, 1, most).alias("repeated_rows"),
     )
 

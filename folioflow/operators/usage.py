@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNTS = ("noncached", "cached", "output")
-#: Rows that one block of a running sum holds, on average.
-BLOCK = 100_000
+#: Rows that one block of a running sum holds, on average, and blocks at most; blocks grow beyond that, sorted with spills.
+BLOCK, BLOCKS = 100_000, 200
 # Kinds of agent tasks by falling priority; cross-table tasks run under the limit of tables.
 KINDS = ("find", "cross_table", "table", "image")
 
@@ -62,10 +62,10 @@ def content_text(content: Column) -> Column:
 def running(ticks: DataFrame, key: str, at: str, add: str) -> DataFrame:
     """``ticks`` (key, at, add; one row for each key and at) with level, what added up to each row.
 
-    A key may hold most rows, so sums run in blocks of about BLOCK rows, cut at quantiles of ``at``, and blocks
+    A key may hold most rows, so sums run in up to BLOCKS blocks of about BLOCK rows, cut at quantiles of ``at``, and blocks
     carry over; a block is one task's work."""
     count = ticks.count()
-    cuts = max(1, -(-count // BLOCK))
+    cuts = max(1, min(BLOCKS, -(-count // BLOCK)))
     edges = ticks.agg(F.percentile_approx(at, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), 10_000)).first()[0] if cuts > 1 else []
     block = sum((F.when(F.col(at) > e, 1).otherwise(0) for e in edges), F.lit(0))
     dealt = ticks.withColumn("block", block)

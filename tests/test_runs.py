@@ -256,3 +256,10 @@ def test_reruns(spark):
     assert rows(memo.swapped(old, new, spark.createDataFrame([(2,)], "doc int"))) == [(1, "n"), (2, "o"), (3, "o")]
     outputs = spark.createDataFrame([(1, "t", "a.json", "{"), (1, "t", "b.json", "{}"), (1, "t", "c.md", ""), (1, "t", "d", None)], "doc int, task string, path string, content string")
     assert rows(memo.output_problems(outputs).select("path", "problem")) == [("a.json", "not_json"), ("c.md", "empty"), ("d", "missing")]
+
+
+def test_grid_profile(spark):
+    cells = [(1, 1, r, c, v) for r, row in enumerate([["h", "i"], ["a", ""], ["h", "i"], ["b"], ["z", "y"]]) for c, v in enumerate(row)]
+    r = review.csv_profile(spark.createDataFrame(cells, "doc int, tab int, r int, c int, value string")).first()
+    assert (r.n_rows, r.width, r.header, r.last, r.sample) == (5, 2, ["h", "i"], ["z", "y"], [["a", ""], ["h", "i"], ["b"]])
+    assert (r.ragged_rows, [tuple(x) for x in r.empty_cells], r.repeated_rows) == ([3], [(1, 1)], [2])
