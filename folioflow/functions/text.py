@@ -178,12 +178,13 @@ def item_markdown(kind: Column, text: Column, level: Column) -> Column:
 
 
 def column_label(index: Column) -> Column:
-    """Spreadsheet label of a column from 0: A..Z, AA.. up to four letters."""
-    letter = lambda n: F.char((65 + F.pmod(n, F.lit(26))).cast("long"))
-    up = lambda n: (F.floor(n / 26) - 1).cast("long")
-    one = index.cast("long")
-    two, three, four = up(one), up(up(one)), up(up(up(one)))
-    return F.concat(F.when(four >= 0, letter(four)).otherwise(""), F.when(three >= 0, letter(three)).otherwise(""), F.when(two >= 0, letter(two)).otherwise(""), letter(one))
+    """Spreadsheet label of a column from 0: A..Z, AA.. as far as whole numbers go; empty below 0."""
+    levels = [index.cast("long")]
+    while len(levels) < 14:  # 26 ** 14 is more than any long
+        levels.append(F.call_function("div", levels[-1], F.lit(26)) - 1)
+    letter = lambda n: F.char(65 + F.pmod(n, F.lit(26)))
+    # the level above a number below 0 would be -1 again, so each asks for all below it
+    return F.concat(*(F.when(n >= 0, letter(n)).otherwise("") for n in reversed(levels[1:])), F.when(levels[0] < 0, "").otherwise(letter(levels[0])))
 
 
 def source_ids(sources, sha: str = "sha256"):
