@@ -155,24 +155,28 @@ def detail(tables: DataFrame, drafts: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def shared_cells(a: DataFrame, b: DataFrame) -> DataFrame:
-    """doc, tab, other, n_shared, own: grids of one document that share cells; ``a`` and ``b``: doc, tab, value."""
-    left, right = a.select("doc", "tab", "value").distinct(), b.select("doc", F.col("tab").alias("other"), "value").distinct()
-    own = left.groupBy("doc", "tab").agg(F.count("*").alias("own"))
-    pairs = left.join(right, ["doc", "value"]).groupBy("doc", "tab", "other").agg(F.count("*").alias("n_shared"))
-    return pairs.join(own, ["doc", "tab"])
+def _useful_cells(cells: DataFrame) -> DataFrame:
+    """doc, tab, page, value, own: a grid's different useful cells, its first page and the number of those cells."""
+    grid_ = Window.partitionBy("doc", "tab")
+    each = cells.groupBy("doc", "tab", "value").agg(F.min("page").alias("page"))
+    each = each.withColumn("page", F.min("page").over(grid_)).withColumn("own", F.count_if(text.useful(F.col("value"))).over(grid_))
+    return each.where(text.useful(F.col("value")))
 
 
 def content_overlap(a: DataFrame, b: DataFrame, shared: int = 3, recall: float = 0.45) -> DataFrame:
     """doc, tab, other, n_shared, recall: for each grid of ``a`` the grid of ``b`` that has most of its useful cells.
 
     Both: doc, tab, page, value (cell keys).  Grids meet on equal cells inside of a document; the best has the
-    largest recall, then most shared cells, then the nearest page, then the smallest id."""
-    useful = lambda d: d.where(text.useful(F.col("value")))
-    pages = a.groupBy("doc", "tab").agg(F.min("page").alias("page")), b.groupBy("doc", F.col("tab").alias("other")).agg(F.min("page").alias("there"))
-    good = shared_cells(useful(a), useful(b)).where("tab <> other").withColumn("recall", F.col("n_shared") / F.col("own"))
-    good = good.where((F.col("n_shared") >= shared) & (F.col("recall") >= recall)).join(pages[0], ["doc", "tab"]).join(pages[1], ["doc", "other"])
-    order = Window.partitionBy("doc", "tab").orderBy(F.desc("recall"), F.desc("n_shared"), F.abs(F.col("page") - F.col("there")), "other")
+    largest recall, then most shared cells, then the nearest page, then the smallest id.  Every step is by document,
+    so that inputs dealt by document are dealt no more: a document's grids bound the lists of those that hold a cell."""
+    one = F.struct("tab", "page", "own")
+    left, right = (_useful_cells(d).select("doc", "value", *(F.when(F.lit(n == m), one).alias(m) for m in "ab")) for n, d in (("a", a), ("b", b)))
+    held = left.unionByName(right).groupBy("doc", "value").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    pairs = held.select("doc", F.explode("a").alias("x"), "b").select("doc", "x", F.explode("b").alias("y"))
+    pairs = pairs.select("doc", "x.tab", F.col("y.tab").alias("other"), "x.own", F.abs(F.col("x.page") - F.col("y.page")).alias("far")).where("tab <> other")
+    good = pairs.groupBy("doc", "tab", "other", "own", "far").agg(F.count("*").alias("n_shared")).withColumn("recall", F.col("n_shared") / F.col("own"))
+    good = good.where((F.col("n_shared") >= shared) & (F.col("recall") >= recall))
+    order = Window.partitionBy("doc", "tab").orderBy(F.desc("recall"), F.desc("n_shared"), "far", "other")
     return good.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc", "tab", "other", "n_shared", "recall")
 
 

@@ -241,7 +241,7 @@ p as (select a.doc, a.tab, b.tab as other, count(*) as n_shared from u a join u
 g as (select doc, tab, other, n_shared, n_shared::double / own as recall from p join own using (doc, tab))
 select doc, tab, other, n_shared, recall from (select *, row_number() over (partition by doc, tab order by recall desc, n_shared desc, abs(tab - other), other) as n from g where n_shared >= 3 and recall >= 0.45) where n = 1""")
 def content_overlap(spark, sf):
-    cells = view(spark, sf, "cells").withColumn("page", F.col("tab"))
+    cells = view(spark, sf, "cells", "doc").withColumn("page", F.col("tab"))
     return review.content_overlap(cells, cells)
 
 

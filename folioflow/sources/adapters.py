@@ -40,13 +40,43 @@ select p_partkey as id, cast(300 + 60 * p_size as int) as width, cast(400 + p_pa
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapter view over the tables of ``sf_dir``; columns prune down to the scan."""
+#: Where a line item stands.  Windows by these columns, not by an expression, let what groups by page keep the exchange.
+_PLACE = "cast(floor(l_orderkey / 300) as int) as doc, cast(floor(l_orderkey / 3) as int) % 100 + 1 as page"
+
+
+def _columns(select: str) -> list[str]:
+    """The columns of a SELECT, cut at commas outside of brackets."""
+    out, depth = [""], 0
+    for c in select.strip().removeprefix("select "):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _blocks(items: DataFrame, by: str | None) -> DataFrame:
+    # column by column: the names of subqueries would hide from unions that both of their sides are dealt alike
+    outer, inner = VIEWS["blocks"].removesuffix("\n  from lineitem) b").split(" from (\n", 1)
+    inner = inner.replace(_PLACE, "doc, page").replace("partition by floor(l_orderkey / 3)", "partition by doc, page")
+    placed = items.selectExpr("*", *_columns(_PLACE))
+    return (placed.repartition(by) if by else placed).selectExpr(*_columns(inner)).selectExpr(*_columns(outer))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """One adapter view over the tables of ``sf_dir``; columns prune down to the scan.
+
+    Blocks and cells are dealt by page, or by column ``by``, once: cells are made of one pass over blocks."""
     source = {"blocks": "lineitem", "agent_tables": "orders", "detections": "orders", "agent_events": "events", "cells": "lineitem", "page_sizes": "part"}[name]
-    body = VIEWS[name]
-    if name == "cells":
-        return spark.sql(f"with blocks as ({VIEWS['blocks'].replace('from lineitem', 'from {t}')}) {body}", t=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
-    return spark.sql(body.replace(f"from {source}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    if source == "lineitem":
+        blocks = _blocks(rows, by)
+        if name == "blocks":
+            return blocks
+        values = "stack(4, 0, kind, 1, cast(x0 as string), 2, cast(top as string), 3, case when ord % 5 = 0 then '' else kind end) as (c, value)"
+        return blocks.selectExpr("doc", "page as tab", "ord as r", values)
+    return spark.sql(VIEWS[name].replace(f"from {source}", "from {t}"), t=rows)
 
 
 def sql_of(*names: str) -> str:

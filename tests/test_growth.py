@@ -1,8 +1,10 @@
 """Larger inputs: labels of any length, and plans that deal their rows once and work a page out once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
+from folioflow.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +20,12 @@ def test_labels_of_any_length(spark):
     numbers = sorted({n for f in first for n in (f - 1, f, f + 27)} | {-1, 475_253, 475_254, 1_199_999, 2**53 + 1, 2**63 - 1})
     rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", text.column_label(F.col("n"))).collect()
     assert {n: x for n, x in rows} == {n: label(n) for n in numbers}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name, most", [("content_overlap", 2), ("grid_markdown", 1), ("repeated_cells", 1), ("csv_profile", 1)])
+def test_cells_are_dealt_once(spark, name, most):
+    assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most
