@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,24 @@ def draft_problem(status: Column, rows: Column, marked: Column) -> Column:
     )
 
 
+def versions(key: tuple[str, ...], **grids: DataFrame) -> DataFrame:
+    """key, r, c and a column for each version of a grid: its value there, or null.  A cell has one value in a version.
+
+    Versions are put together and grouped, so that those dealt by grid already are not dealt again."""
+    at = [*key, "r", "c"]
+    names = list(grids)
+    cells = [d.select(*at, *(F.col("value").alias(n) if n == name else F.lit(None).cast("string").alias(n) for n in names), *((F.lit(n == name)).alias(f"in_{n}") for n in names)) for name, d in grids.items()]
+    every = reduce(DataFrame.unionByName, cells)
+    return every.groupBy(*at).agg(*(F.max(n).alias(n) for n in names), *(F.max(f"in_{n}").alias(f"in_{n}") for n in names))
+
+
+def differs(a: str, b: str) -> Column:
+    return F.coalesce(a, F.lit("")) != F.coalesce(b, F.lit(""))
+
+
 def cell_diff(left: DataFrame, right: DataFrame, key: tuple[str, ...] = ("doc", "tab")) -> DataFrame:
     """key, changed: positions where two versions of a grid differ; a missing cell counts as empty."""
-    r = right.withColumnRenamed("value", "other")
-    both = left.join(r, [*key, "r", "c"], "full_outer")
-    changed = F.coalesce("value", F.lit("")) != F.coalesce("other", F.lit(""))
-    return both.groupBy(*key).agg(F.count_if(changed).alias("changed"))
+    return versions(key, left=left, right=right).groupBy(*key).agg(F.count_if(differs("left", "right")).alias("changed"))
 
 
 def csv_profile(cells: DataFrame, most: int = 10) -> DataFrame:
@@ -81,13 +95,16 @@ def application_state(ai: DataFrame, current: DataFrame, drafts: DataFrame) -> D
 
     All three: doc, tab, r, c, value.  A grid without cells in ``current`` is the extracted one still, one without
     cells in ``drafts`` the current one."""
-    grids = lambda d: d.select("doc", "tab").distinct()
-    known = grids(ai)
-    now = current.unionByName(ai.join(grids(current), ["doc", "tab"], "left_anti"))
-    wanted = drafts.join(known, ["doc", "tab"], "left_semi").unionByName(now.join(grids(drafts), ["doc", "tab"], "left_anti"))
-    pending, applied = cell_diff(wanted, now), cell_diff(now, ai)
-    seen = lambda d, n: d.groupBy("doc").agg((F.sum("changed") > 0).alias(n))
-    out = known.select("doc").distinct().join(seen(pending, "pending"), "doc", "left").join(seen(applied, "applied"), "doc", "left")
+    cells = versions(("doc", "tab"), ai=ai, now=current, draft=drafts)
+    count, there = (lambda a, b: F.count_if(differs(a, b))), (lambda n: F.max(f"in_{n}").alias(n))
+    grids = cells.groupBy("doc", "tab").agg(
+        there("ai"), there("now"), there("draft"), count("draft", "now").alias("draft_now"), count("draft", "ai").alias("draft_ai"), count("now", "ai").alias("now_ai"),
+        F.count_if(F.coalesce("now", F.lit("")) != "").alias("filled"),
+    )
+    # drafts of grids that were never extracted are no versions; such a grid has cells now or none
+    pending = F.when(~F.col("draft"), 0).when(~F.col("ai"), F.col("filled")).when(F.col("now"), F.col("draft_now")).otherwise(F.col("draft_ai"))
+    applied = F.when(F.col("now"), F.col("now_ai")).otherwise(0)
+    out = grids.groupBy("doc").agg(F.max("ai").alias("known"), F.max(pending > 0).alias("pending"), F.max(applied > 0).alias("applied")).where("known")
     return out.select("doc", F.when(F.col("pending"), "pending_apply").when(F.col("applied"), "applied").otherwise("no_apply_needed").alias("state"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
+from folioflow.operators import review
 from folioflow.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +27,29 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name, most", [("content_overlap", 2), ("grid_markdown", 1), ("repeated_cells", 1), ("csv_profile", 1)])
+@pytest.mark.parametrize("name, most", [("content_overlap", 2), ("application_state", 5), ("grid_markdown", 1), ("repeated_cells", 1), ("cell_diff", 2), ("csv_profile", 1)])
 def test_cells_are_dealt_once(spark, name, most):
     assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most
+
+
+def test_states_of_grids_known_or_not(spark):
+    """Every mix of a grid's versions, against the rule read cell by cell."""
+    texts = [None, "", "a", "b"]
+    rows = {"ai": [], "now": [], "draft": []}
+    want = {}
+    for doc, (a, n, d) in enumerate((a, n, d) for a in texts for n in texts for d in texts):
+        for name, value in zip(rows, (a, n, d)):
+            if value is not None:
+                rows[name].append((doc, 1, 0, 0, value))
+        now = n if n is not None else a
+        wanted = d if d is not None and a is not None else now if d is None else None
+        if a is not None:
+            want[doc] = "pending_apply" if (wanted or "") != (now or "") else "applied" if (now or "") != a else "no_apply_needed"
+        # a second grid of the document that was extracted in every second case only, and has a draft
+        if doc % 2:
+            rows["now"].append((doc, 2, 0, 0, "x"))
+            rows["draft"].append((doc, 2, 0, 0, "x"))
+            if a is not None:
+                want[doc] = "pending_apply"  # the draft of an unknown grid is no version, its cells go
+    frames = [spark.createDataFrame(r, "doc int, tab int, r int, c int, value string") for r in rows.values()]
+    assert {r.doc: r.state for r in review.application_state(*frames).collect()} == want
