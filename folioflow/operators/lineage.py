@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .pages import BOX, KEY, LEAST_OVERLAP, none_of
+from .pages import BOX, KEY, LEAST_OVERLAP, box_of, none_of
 
 LEAD = 0.05
 #: Relations by which a table goes on on a later page.
@@ -22,32 +22,56 @@ def page_box(boxes: Column | None, page: Column, own: G.Box) -> G.Box:
     return G.Box(*(F.coalesce(there[n].cast("double"), o) for n, o in zip(BOX, own)))
 
 
-def continuations(tables: DataFrame, blocks: DataFrame, direct: DataFrame, least: float = LEAST_OVERLAP, lead: float = LEAD) -> DataFrame:
-    """doc, page, ord, status, id, overlap, candidates: free layout tables against agent tables that reach their page.
+def outcomes(tables: DataFrame, blocks: DataFrame, direct: DataFrame, least: float = LEAST_OVERLAP, lead: float = LEAD) -> DataFrame:
+    """doc, page, ord, id, method, overlap, turn, n, candidates: every layout table and the one relation it has, if any.
 
     ``tables``: doc, id, page (anchor), pages (all of its pages), a box, and page_boxes (map by page) if they
-    differ; ``direct``: doc, page, ord of blocks that have a table.  One candidate is taken from ``least``
-    horizontal overlap on; of several the best, if it leads by more than ``lead``; otherwise the block is
-    ambiguous (id null).  Candidates stand by falling overlap, then falling id."""
+    differ; ``direct``: what direct_relations() gives.  A block that a table claimed has turn 0.  A free one is held
+    against tables that reach its page (turn 1).  One candidate is taken from ``least`` horizontal overlap on; of
+    several the best, if it leads by more than ``lead``; otherwise the method is ambiguous_continuation and id is
+    null.  Candidates stand by falling overlap, then falling id.  Claims and candidates of a page come as lists, so
+    that blocks stay where they are and claims are worked out once."""
     boxes = F.col("page_boxes") if "page_boxes" in tables.columns else None
     reach = tables.select("doc", "id", F.col("page").alias("anchor"), *BOX, *(["page_boxes"] if boxes is not None else []), F.explode("pages").alias("page")).where("page <> anchor")
     own = page_box(boxes, F.col("page"), G.box())
-    reach = reach.select(*KEY, "id", *(c.alias(f"t_{n}") for n, c in zip(BOX, own)))
-    free = blocks.where("kind = 'table' and x0 is not null").join(direct.select(*KEY, "ord"), [*KEY, "ord"], "left_anti")
-    pairs = free.join(reach, KEY).select(*KEY, "ord", F.struct(G.horizontal_overlap(G.box("t_"), G.box()).alias("score"), "id").alias("c"))
-    out = pairs.groupBy(*KEY, "ord").agg(F.sort_array(F.collect_list("c"), asc=False).alias("c"))
+    reach = reach.select(*KEY, F.struct("id", *(c.alias(n) for n, c in zip(BOX, own))).alias("t")).groupBy(*KEY).agg(F.collect_list("t").alias("reach"))
+    more = [F.col(c) if c in direct.columns else F.lit(None).cast(k).alias(c) for c, k in (("id", "long"), ("method", "string"), ("overlap", "double"), ("n", "int"))]
+    claims = direct.select(*KEY, F.struct(F.col("ord").cast("int").alias("ord"), *more).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("claims"))
+    here = blocks.where("kind = 'table'").select(*KEY, "ord", *(F.col(c).cast("double").alias(c) for c in BOX)).join(claims, KEY, "left").join(reach, KEY, "left")
+    claim = F.get(F.filter("claims", lambda x: x["ord"] == F.col("ord")), F.lit(0))
+    here = here.select(*KEY, "ord", *BOX, "reach", claim.alias("claim"))
+    scored = F.transform("reach", lambda t: F.struct(G.horizontal_overlap(box_of(t), G.box()).alias("score"), t["id"].cast("long").alias("id")))
+    here = here.select(*KEY, "ord", "claim", F.when(F.col("claim").isNull() & F.col("x0").isNotNull(), F.sort_array(scored, asc=False)).alias("c"))
     top, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    status = (
-        F.when((F.size("c") == 1) & (top["score"] >= least), CONTINUED[0])
-        .when((F.size("c") > 1) & (top["score"] >= least) & (top["score"] - second["score"] > lead), CONTINUED[1]).otherwise("ambiguous_continuation")
+    method = (
+        F.when(F.size("c") < 1, None).when((F.size("c") == 1) & (top["score"] >= least), CONTINUED[0])
+        .when((F.size("c") > 1) & (top["score"] >= least) & (top["score"] - second["score"] > lead), CONTINUED[1]).when(F.size("c") > 0, "ambiguous_continuation")
     )
-    taken = status != "ambiguous_continuation"
-    return out.select(
-        *KEY, "ord", status.alias("status"), F.when(taken, top["id"]).alias("id"), F.when(taken, F.bround(top["score"], 4)).alias("overlap"),
-        F.when(taken, none_of("array<bigint>")).otherwise(F.transform("c", lambda x: x["id"].cast("bigint"))).alias("candidates"),
+    here = here.withColumn("method", method)
+    claimed, taken, unsure = F.col("claim").isNotNull(), F.col("method").isin(*CONTINUED), F.col("method") == "ambiguous_continuation"
+    return here.select(
+        *KEY, "ord", F.when(claimed, F.col("claim.id").cast("long")).when(taken, top["id"]).alias("id"), F.coalesce("claim.method", "method").alias("method"),
+        F.when(claimed, F.col("claim.overlap")).when(taken, F.bround(top["score"], 4)).alias("overlap"), F.when(claimed, 0).when(F.col("method").isNotNull(), 1).alias("turn"),
+        F.when(claimed, F.col("claim.n").cast("int")).otherwise(F.col("ord").cast("int")).alias("n"), F.when(unsure, F.transform("c", lambda x: x["id"])).otherwise(none_of("array<bigint>")).alias("candidates"),
     )
 
 
+def continuations(tables: DataFrame, blocks: DataFrame, direct: DataFrame, least: float = LEAST_OVERLAP, lead: float = LEAD) -> DataFrame:
+    """doc, page, ord, status, id, overlap, candidates: free layout tables that agent tables reach, from outcomes();
+    of ``direct`` doc, page and ord are enough."""
+    return continued(outcomes(tables, blocks, direct, least, lead))
+
+
+def continued(found: DataFrame) -> DataFrame:
+    return found.where("turn = 1").select(*KEY, "ord", F.col("method").alias("status"), "id", "overlap", "candidates")
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """outcomes() with layout_id, as layout_ids() gives it."""
+    order = Window.partitionBy("doc").orderBy("page", "ord")
+    return found.withColumn("layout_id", F.format_string("layout-table-%04d", F.row_number().over(order)))
+
+
 def layout_ids(blocks: DataFrame) -> DataFrame:
     """doc, page, ord, layout_id: layout tables of a document numbered in reading order."""
     order = Window.partitionBy("doc").orderBy("page", "ord")
@@ -64,8 +88,13 @@ def edges(direct: DataFrame, continued: DataFrame) -> DataFrame:
 
 def by_table(tables: DataFrame, relations: DataFrame, ids: DataFrame) -> DataFrame:
     """doc, id, action, layout_ids, relations: the lineage of each agent table, from edges() and layout_ids()."""
+    return by_table_of(tables, relations.join(ids, [*KEY, "ord"]))
+
+
+def by_table_of(tables: DataFrame, relations: DataFrame) -> DataFrame:
+    """by_table() of relations that have their layout_id."""
     item = F.struct("turn", "page", "n", F.struct("layout_id", "page", "ord", "method", "overlap").alias("r"))
-    listed = relations.join(ids, [*KEY, "ord"]).groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("relations"))
+    listed = relations.where("id is not null").groupBy("doc", "id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["r"]).alias("relations"))
     out = tables.select("doc", F.col("id").cast("long").alias("id"), F.size("pages").alias("n_pages")).join(listed, ["doc", "id"], "left")
     found = F.coalesce(F.size("relations"), F.lit(0))
     found = F.when(F.col("relations").isNull(), 0).otherwise(found)
@@ -84,6 +113,13 @@ def by_layout_table(ids: DataFrame, relations: DataFrame, continued: DataFrame)
     return out.select("doc", "layout_id", "page", "ord", status.alias("status"), F.coalesce("replacements", empty).alias("replacements"), F.coalesce("candidates", empty).alias("candidates"))
 
 
+def layout_status(found: DataFrame) -> DataFrame:
+    """doc, page, ord, status, id, candidates: what became of each layout table, straight from outcomes()."""
+    named = {"bbox_overlap": "replaced", "bbox_contains_center": "replaced", **dict.fromkeys(CONTINUED, "absorbed_into_merged_table"), "ambiguous_continuation": "ambiguous_continuation"}
+    status = F.coalesce(*(F.when(F.col("method") == k, v) for k, v in named.items()), F.lit("unmatched"))
+    return found.select(*KEY, "ord", status.alias("status"), "id", "candidates")
+
+
 def retained(records: DataFrame, blocks: DataFrame, keep: bool) -> DataFrame:
     """``records`` of by_layout_table() with retained, markdown (the path of their export) and text (what it holds)."""
     own = blocks.select(*KEY, "ord", F.concat(F.rtrim("markdown"), F.lit("\n")).alias("text"))

@@ -38,38 +38,50 @@ def box_of(x: Column) -> G.Box:
     return G.Box(*(x[n] for n in BOX))
 
 
+def _items(rows: DataFrame, name: str, order: list[str], more: list[str]) -> DataFrame:
+    return rows.select(*KEY, F.struct(*order, *(F.col(c).cast("double").alias(c) for c in BOX), *more).alias(name))
+
+
 def _grouped(rows: DataFrame, name: str, order: list[str], more: list[str]) -> DataFrame:
-    item = F.struct(*order, *(F.col(c).cast("double").alias(c) for c in BOX), *more)
-    return rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias(name))
+    return _items(rows, name, order, more).groupBy(*KEY).agg(F.sort_array(F.collect_list(name)).alias(name))
+
+
+def rows_of(frame: DataFrame, array: Column | str, *names: str) -> DataFrame:
+    """KEY and the items of an array (fields ``names``, else all; with its place as ``n`` if asked for), one a row.
+
+    Outer, as else the optimiser asks for the array's size below and works out twice more what made it."""
+    if "n" in names:
+        each = frame.select(*KEY, F.posexplode_outer(array).alias("n", "x"))
+    else:
+        each = frame.select(*KEY, F.explode_outer(array).alias("x"))
+    return each.where(F.col("x").isNotNull()).select(*KEY, *(c if c == "n" else f"x.{c}" for c in names or ["*"]))
 
 
-def page_frame(tables: DataFrame, blocks: DataFrame, images: DataFrame | None = None, *more: str) -> DataFrame:
+def page_frame(tables: DataFrame, blocks: DataFrame, images: DataFrame | None = None, *more: str, how: str = "full_outer") -> DataFrame:
     """doc, page, tables, blocks, images: every page that has any, each array in order.
 
     ``tables``: doc, page, k (order on the page), id and a box; ``blocks``: doc, page, ord, kind, a box that may be
-    null, and columns ``more``; ``images``: see page_markdown.  Each table has offers, one for each block: how
-    they overlap."""
-    frame = _grouped(tables, "tables", ["k", "id"], []).join(_grouped(blocks, "blocks", ["ord", "kind"], list(more)), KEY, "full_outer")
+    null, and columns ``more``; ``images``: see page_markdown.  Each table has offers, one for each block that it
+    overlaps or whose centre it holds: few blocks are near a table, and only those are weighed.  With ``how`` left,
+    pages without tables are left out, and all rows stay where the tables are."""
+    frame = _grouped(tables, "tables", ["k", "id"], []).join(_grouped(blocks, "blocks", ["ord", "kind"], list(more)), KEY, how)
     if images is not None:
-        frame = frame.join(_grouped(images, "images", ["pos", "id"], ["block", "caption", "included", "slot", "text"]), KEY, "full_outer")
+        frame = frame.join(_grouped(images, "images", ["pos", "id"], ["block", "caption", "included", "slot", "text"]), KEY, how)
+    lists = [c for c in frame.columns if c not in KEY]
+    frame = frame.select(*KEY, *(F.coalesce(c, none_of(frame.schema[c].dataType.simpleString())).alias(c) for c in lists))
 
-    def offers(t: Column) -> Column:
-        a = box_of(t)
-
-        def offer(b: Column) -> Column:
-            o = box_of(b)
-            return F.struct(
-                b["ord"].alias("ord"), b["kind"].alias("kind"), F.coalesce(G.overlap(a, o), F.lit(0.0)).alias("score"),
-                F.coalesce(G.contains_center(a, o, MARGIN), F.lit(False)).alias("inside"),
-                F.coalesce((o.bottom <= a.top + 2) & (G.horizontal_overlap(a, o) >= LEAST_ACROSS), F.lit(False)).alias("above"), (a.top - o.bottom).alias("gap"),
-            )
+    def near(a: Column, b: Column) -> Column:
+        """Whether boxes meet within the margin, so that all others neither overlap nor hold a centre."""
+        meet = lambda low, high: (F.least(b[low], b[high]) <= a[high] + MARGIN) & (F.greatest(b[low], b[high]) >= a[low] - MARGIN)
+        return meet("top", "bottom") & meet("x0", "x1")
 
-        return F.transform(F.coalesce("blocks", none_of(frame.schema["blocks"].dataType.simpleString())), offer)
+    def offer(a: Column, b: Column) -> Column:
+        score, inside = G.overlap(box_of(a), box_of(b)), G.contains_center(box_of(a), box_of(b), MARGIN)
+        return F.struct(b["ord"].alias("ord"), b["kind"].alias("kind"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce(inside, F.lit(False)).alias("inside"))
 
-    keep = [c for c in frame.columns if c not in (*KEY, "tables")]
-    listed = F.coalesce("tables", none_of(frame.schema["tables"].dataType.simpleString()))
-    offered = F.transform(listed, lambda t: F.struct(t["k"].alias("k"), t["id"].alias("id"), offers(t).alias("offers")))
-    return frame.select(*KEY, offered.alias("tables"), *(F.coalesce(c, none_of(frame.schema[c].dataType.simpleString())).alias(c) for c in keep))
+    offers = lambda t, blocks_: F.transform(F.filter(blocks_, lambda b: near(t, b)), lambda b: offer(t, b))
+    listed = let(F.struct("tables", "blocks"), lambda x: F.transform(x["tables"], lambda t: t.withField("offers", offers(t, x["blocks"]))))
+    return frame.select(*KEY, listed.alias("tables"), *(c for c in lists if c != "tables"))
 
 
 def best(offers: Column) -> Column:
@@ -96,7 +108,7 @@ def best_match(frame: DataFrame, kind: str = "table", least: float = LEAST_OVERL
             F.array_append(acc["out"], F.struct(t["id"].cast("bigint").alias("id"), t["k"].cast("int").alias("k"), won(b, least).alias("ord"), F.coalesce(-b["s"], F.lit(0.0)).alias("score"))).alias("out"),
         ))
 
-    return frame.select(*KEY, F.inline(F.aggregate("tables", start, step)["out"]))
+    return rows_of(frame, F.aggregate("tables", start, step)["out"])
 
 
 def direct_relations(frame: DataFrame) -> DataFrame:
@@ -120,14 +132,19 @@ def direct_relations(frame: DataFrame) -> DataFrame:
 
         return let(let(best(free), both), lambda now: F.struct(F.concat(acc["used"], F.transform(now, lambda x: x["ord"])).alias("used"), F.concat(acc["out"], now).alias("out")))
 
-    found = F.aggregate("tables", start, step)["out"]
-    return frame.select(*KEY, F.posexplode(found).alias("n", "x")).select(*KEY, "x.*", "n")
+    return rows_of(frame, F.aggregate("tables", start, step)["out"], "id", "ord", "method", "overlap", "n")
 
 
 def slot_of(t: Column, blocks: Column, absorbed: Column) -> Column:
     """Where a table without a match goes: its first absorbed block's place; else half a step after the nearest
     block above that shares some of its width; else half a step before the page's first block."""
-    above = F.array_min(F.transform(F.filter(t["offers"], lambda o: o["above"]), lambda o: F.struct(o["gap"].alias("gap"), o["ord"].alias("ord"))))
+    a = box_of(t)
+
+    def over(b: Column) -> Column:
+        o = box_of(b)
+        return F.coalesce((o.bottom <= a.top + 2) & (G.horizontal_overlap(a, o) >= LEAST_ACROSS), F.lit(False))
+
+    above = F.array_min(F.transform(F.filter(blocks, over), lambda b: F.struct((a.top - b["bottom"]).alias("gap"), b["ord"].alias("ord"))))
     start = F.coalesce(F.array_min(F.transform(blocks, lambda b: b["ord"])), F.lit(0)) - 0.5
     return F.coalesce(F.array_min(F.transform(absorbed, lambda o: o["ord"])).cast("double"), above["ord"] + 0.5, start)
 
@@ -135,7 +152,7 @@ def slot_of(t: Column, blocks: Column, absorbed: Column) -> Column:
 def merges(frame: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """``frame`` with merges and gone: what becomes of each table, and the blocks that are shown no more.
 
-    A merge has id, matched, overlap, absorbed, action, source_slot and slot.  In order, a table matches the
+    A merge has id, k, matched, overlap, absorbed, action, source_slot and slot.  In order, a table matches the
     free table block that it overlaps most and absorbs all unprotected blocks whose centre it holds and
     nothing took yet (``gone``: doc, page, ord of blocks taken before).  Places are then dealt anew, so that
     tables of a page never swap."""
@@ -144,10 +161,9 @@ def merges(frame: DataFrame, gone: DataFrame | None = None) -> DataFrame:
         frame = frame.join(before, KEY, "left").withColumn("before", F.coalesce("before", none_of(INTS)))
     else:
         frame = frame.withColumn("before", none_of(INTS))
-    kind = "array<struct<id:bigint,matched:int,overlap:double,absorbed:array<int>,action:string,source_slot:double>>"
-    start = F.struct(none_of(INTS).alias("used"), F.col("before").alias("gone"), none_of(kind).alias("out"))
+    kind = "array<struct<id:bigint,k:int,matched:int,overlap:double,absorbed:array<int>,action:string,source_slot:double>>"
 
-    def step(acc: Column, t: Column) -> Column:
+    def step(page: Column, acc: Column, t: Column) -> Column:
         def taken(b: Column) -> Column:
             inside = F.filter(t["offers"], lambda o: o["inside"] & ~o["kind"].isin(*PROTECTED))
             return F.struct(b["s"].alias("s"), won(b).alias("matched"), unless(unless(inside, acc["used"]), acc["gone"]).alias("absorbed"))
@@ -158,23 +174,31 @@ def merges(frame: DataFrame, gone: DataFrame | None = None) -> DataFrame:
             match = F.array_compact(F.array(x["matched"]))
             action = F.when(x["matched"].isNotNull(), "replaced_layout_table").when(F.size(orders) > 0, "replaced_text_fragments").otherwise("inserted_missing_table")
             merge = F.struct(
-                t["id"].cast("bigint").alias("id"), x["matched"].alias("matched"), F.bround(F.coalesce(-x["s"], F.lit(0.0)), 4).alias("overlap"), orders.alias("absorbed"),
-                action.alias("action"), F.coalesce(x["matched"].cast("double"), slot_of(t, F.col("blocks"), x["absorbed"])).alias("source_slot"),
+                t["id"].cast("bigint").alias("id"), t["k"].cast("int").alias("k"), x["matched"].alias("matched"), F.bround(F.coalesce(-x["s"], F.lit(0.0)), 4).alias("overlap"), orders.alias("absorbed"),
+                action.alias("action"), F.coalesce(x["matched"].cast("double"), slot_of(t, page["blocks"], x["absorbed"])).alias("source_slot"),
             )
             return F.struct(F.concat(acc["used"], match, tables).alias("used"), F.concat(acc["gone"], match, orders).alias("gone"), F.array_append(acc["out"], merge).alias("out"))
 
         return let(let(best(unless(t["offers"], acc["used"])), taken), next_)
 
-    out = frame.withColumn("fold", F.aggregate("tables", start, step))
-    slots = F.array_sort(F.transform("fold.out", lambda x: x["source_slot"]))
-    placed = F.transform("fold.out", lambda x, i: x.withField("slot", F.get(slots, i)))
-    return out.select(*frame.columns, placed.alias("merges"), F.col("fold.gone").alias("gone")).drop("before")
+    def placed(fold: Column) -> Column:
+        slots = F.sort_array(F.transform(fold["out"], lambda x: x["source_slot"]))
+        out = let(slots, lambda sorted_: F.transform(fold["out"], lambda x, i: x.withField("slot", F.get(sorted_, i))))
+        return F.struct(out.alias("merges"), fold["gone"].alias("gone"))
+
+    def fold(page: Column) -> Column:
+        start = F.struct(none_of(INTS).alias("used"), page["before"].alias("gone"), none_of(kind).alias("out"))
+        return let(F.aggregate(page["tables"], start, lambda acc, t: step(page, acc, t)), placed)
+
+    # a page is one value: its lists would be sorted again for each table that reads them
+    out = frame.withColumn("fold", let(F.struct("tables", "blocks", "before"), fold))
+    return out.select(*(c for c in frame.columns if c != "before"), "fold.merges", "fold.gone")
 
 
 def absorbed_blocks(merged: DataFrame) -> DataFrame:
     """doc, page, ord, id: blocks that tables absorb, from merges()."""
-    each = merged.select(*KEY, F.explode("merges").alias("x")).select(*KEY, "x.id", F.explode("x.absorbed").alias("ord"))
-    return each.select(*KEY, "ord", "id")
+    each = F.flatten(F.transform("merges", lambda m: F.transform(m["absorbed"], lambda o: F.struct(o.alias("ord"), m["id"].alias("id")))))
+    return rows_of(merged, each)
 
 
 def with_images(merged: DataFrame) -> DataFrame:
@@ -182,10 +206,9 @@ def with_images(merged: DataFrame) -> DataFrame:
     centre they hold and nothing took yet, but for the block that they stand for; hidden ones absorb nothing,
     and so do those without a box."""
     kind = "array<struct<image:string,absorbed:array<int>>>"
-    start = F.struct(F.col("gone").alias("gone"), none_of(kind).alias("out"))
 
-    def step(acc: Column, image: Column) -> Column:
-        held = F.filter("blocks", lambda b: b["kind"].isin(*IMAGE_TEXT) & F.coalesce(G.contains_center(box_of(image), box_of(b), MARGIN), F.lit(False)))
+    def step(page: Column, acc: Column, image: Column) -> Column:
+        held = F.filter(page["texts"], lambda b: F.coalesce(G.contains_center(box_of(image), box_of(b), MARGIN), F.lit(False)))
         free = F.transform(unless(F.filter(held, lambda b: b["ord"] != F.coalesce(image["block"], F.lit(-1))), acc["gone"]), lambda b: b["ord"])
         return let(F.when(image["included"], free).otherwise(none_of(INTS)), lambda now: F.struct(
             F.concat(acc["gone"], now).alias("gone"),
@@ -195,9 +218,14 @@ def with_images(merged: DataFrame) -> DataFrame:
     # an image that a table absorbed is shown no more; what lambdas read is worked out once, outside of them
     taken = lambda x: F.flatten(F.transform(x["merges"], lambda m: m["absorbed"]))
     shown = lambda x: let(taken(x), lambda t: F.transform(x["images"], lambda i: i.withField("included", i["included"] & ~F.coalesce(F.array_contains(t, i["block"]), F.lit(False)))))
-    images = let(F.struct("merges", "images"), shown)
-    fold = lambda i: F.struct(i.alias("images"), F.aggregate(i, start, step).alias("fold"))
-    out = merged.withColumn("x", let(images, fold))
+    texts = lambda x: F.filter(x["blocks"], lambda b: b["kind"].isin(*IMAGE_TEXT))
+
+    def fold(page: Column) -> Column:
+        start = F.struct(page["gone"].alias("gone"), none_of(kind).alias("out"))
+        return F.struct(page["images"].alias("images"), F.aggregate(page["images"], start, lambda acc, i: step(page, acc, i)).alias("fold"))
+
+    folded = let(F.struct("merges", "images", "blocks", "gone"), lambda x: let(F.struct(shown(x).alias("images"), texts(x).alias("texts"), x["gone"].alias("gone")), fold))
+    out = merged.withColumn("x", folded)
     rest = [c for c in merged.columns if c not in ("gone", "images")]
     return out.select(*rest, F.col("x.images").alias("images"), F.col("x.fold.gone").alias("gone"), F.col("x.fold.out").alias("image_merges"))
 
@@ -322,7 +350,7 @@ def match_images(seen: DataFrame, pictures: DataFrame, least: float = LEAST_OVER
 
         return let(free, decide)
 
-    return frame.select(*KEY, F.inline(F.aggregate("seen", start, step)["out"]))
+    return rows_of(frame, F.aggregate("seen", start, step)["out"])
 
 
 def next_image_index(images: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Larger inputs: labels of any length, and plans that deal their rows once and work a page out once."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
-from folioflow.operators import review
+from folioflow.operators import pages, review
 from folioflow.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +55,18 @@ def test_states_of_grids_known_or_not(spark):
                 want[doc] = "pending_apply"  # the draft of an unknown grid is no version, its cells go
     frames = [spark.createDataFrame(r, "doc int, tab int, r int, c int, value string") for r in rows.values()]
     assert {r.doc: r.state for r in review.application_state(*frames).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["slot_normalize", "insertion_slot", "layout_status", "lineage_actions", "continuation_lineage"])
+def test_a_page_is_folded_once(spark, name):
+    """No filter below a generator asks for the fold's size, and no list is sorted again for each table."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\baggregate\(", plan)) == 1
+
+
+def test_boxes_turned_inside_out_still_have_a_centre(spark):
+    box = "x0 double, top double, x1 double, bottom double"
+    tables = spark.createDataFrame([(1, 1, 1, 5, 6.0, 0.0, 9.0, 50.0)], f"doc int, page int, k int, id long, {box}")
+    blocks = spark.createDataFrame([(1, 1, 1, "table", 20.0, 10.0, -5.0, 12.0), (1, 1, 2, "table", None, None, None, None), (1, 1, 3, "table", 12.0, 10.0, 14.0, 20.0)], f"doc int, page int, ord int, kind string, {box}")
+    got = pages.direct_relations(pages.page_frame(tables, blocks)).collect()
+    assert [(r.ord, r.method) for r in got] == [(1, "bbox_contains_center")]
