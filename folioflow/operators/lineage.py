@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .pages import BOX, KEY, LEAST_OVERLAP, box_of, none_of
+from .pages import BOX, KEY, LEAST_OVERLAP, box_of, hidden_before, let, none_of
 
 LEAD = 0.05
 #: Relations by which a table goes on on a later page.
@@ -22,6 +22,28 @@ def page_box(boxes: Column | None, page: Column, own: G.Box) -> G.Box:
     return G.Box(*(F.coalesce(there[n].cast("double"), o) for n, o in zip(BOX, own)))
 
 
+def reached(tables: DataFrame) -> DataFrame:
+    """doc, page, reach: tables (id and a box) that begin on another page and reach this one."""
+    boxes = F.col("page_boxes") if "page_boxes" in tables.columns else None
+    reach = tables.select("doc", "id", F.col("page").alias("anchor"), *BOX, *(["page_boxes"] if boxes is not None else []), F.explode("pages").alias("page")).where("page <> anchor")
+    own = page_box(boxes, F.col("page"), G.box())
+    return reach.select(*KEY, F.struct("id", *(c.alias(n) for n, c in zip(BOX, own))).alias("t")).groupBy(*KEY).agg(F.collect_list("t").alias("reach"))
+
+
+def scores(reach: Column, box: G.Box) -> Column:
+    """(score, id) of tables that reach a block's page, by falling overlap, then falling id."""
+    return F.sort_array(F.transform(reach, lambda t: F.struct(G.horizontal_overlap(box_of(t), box).alias("score"), t["id"].cast("long").alias("id"))), asc=False)
+
+
+def continues(c: Column, least: float, lead: float) -> Column:
+    """By which relation a free block continues the first of its scores(); null if it has none."""
+    top, second = F.get(c, F.lit(0)), F.get(c, F.lit(1))
+    return (
+        F.when(F.size(c) < 1, None).when((F.size(c) == 1) & (top["score"] >= least), CONTINUED[0])
+        .when((F.size(c) > 1) & (top["score"] >= least) & (top["score"] - second["score"] > lead), CONTINUED[1]).when(F.size(c) > 0, "ambiguous_continuation")
+    )
+
+
 def outcomes(tables: DataFrame, blocks: DataFrame, direct: DataFrame, least: float = LEAST_OVERLAP, lead: float = LEAD) -> DataFrame:
     """doc, page, ord, id, method, overlap, turn, n, candidates: every layout table and the one relation it has, if any.
 
@@ -31,23 +53,14 @@ def outcomes(tables: DataFrame, blocks: DataFrame, direct: DataFrame, least: flo
     several the best, if it leads by more than ``lead``; otherwise the method is ambiguous_continuation and id is
     null.  Candidates stand by falling overlap, then falling id.  Claims and candidates of a page come as lists, so
     that blocks stay where they are and claims are worked out once."""
-    boxes = F.col("page_boxes") if "page_boxes" in tables.columns else None
-    reach = tables.select("doc", "id", F.col("page").alias("anchor"), *BOX, *(["page_boxes"] if boxes is not None else []), F.explode("pages").alias("page")).where("page <> anchor")
-    own = page_box(boxes, F.col("page"), G.box())
-    reach = reach.select(*KEY, F.struct("id", *(c.alias(n) for n, c in zip(BOX, own))).alias("t")).groupBy(*KEY).agg(F.collect_list("t").alias("reach"))
     more = [F.col(c) if c in direct.columns else F.lit(None).cast(k).alias(c) for c, k in (("id", "long"), ("method", "string"), ("overlap", "double"), ("n", "int"))]
     claims = direct.select(*KEY, F.struct(F.col("ord").cast("int").alias("ord"), *more).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("claims"))
-    here = blocks.where("kind = 'table'").select(*KEY, "ord", *(F.col(c).cast("double").alias(c) for c in BOX)).join(claims, KEY, "left").join(reach, KEY, "left")
+    here = blocks.where("kind = 'table'").select(*KEY, "ord", *(F.col(c).cast("double").alias(c) for c in BOX)).join(claims, KEY, "left").join(reached(tables), KEY, "left")
     claim = F.get(F.filter("claims", lambda x: x["ord"] == F.col("ord")), F.lit(0))
     here = here.select(*KEY, "ord", *BOX, "reach", claim.alias("claim"))
-    scored = F.transform("reach", lambda t: F.struct(G.horizontal_overlap(box_of(t), G.box()).alias("score"), t["id"].cast("long").alias("id")))
-    here = here.select(*KEY, "ord", "claim", F.when(F.col("claim").isNull() & F.col("x0").isNotNull(), F.sort_array(scored, asc=False)).alias("c"))
-    top, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    method = (
-        F.when(F.size("c") < 1, None).when((F.size("c") == 1) & (top["score"] >= least), CONTINUED[0])
-        .when((F.size("c") > 1) & (top["score"] >= least) & (top["score"] - second["score"] > lead), CONTINUED[1]).when(F.size("c") > 0, "ambiguous_continuation")
-    )
-    here = here.withColumn("method", method)
+    here = here.select(*KEY, "ord", "claim", F.when(F.col("claim").isNull() & F.col("x0").isNotNull(), scores(F.col("reach"), G.box())).alias("c"))
+    top = F.get("c", F.lit(0))
+    here = here.withColumn("method", continues(F.col("c"), least, lead))
     claimed, taken, unsure = F.col("claim").isNotNull(), F.col("method").isin(*CONTINUED), F.col("method") == "ambiguous_continuation"
     return here.select(
         *KEY, "ord", F.when(claimed, F.col("claim.id").cast("long")).when(taken, top["id"]).alias("id"), F.coalesce("claim.method", "method").alias("method"),
@@ -140,3 +153,28 @@ def numbered_headings(contained: DataFrame, blocks: DataFrame, relations: DataFr
     hit = contained.where("kind = 'table'").join(said, [*KEY, "ord"]).join(direct, [*KEY, "other"])
     last = hit.groupBy(*KEY, "other").agg(F.max(F.struct("ord", "heading")).alias("x"))
     return last.select(*KEY, F.col("other").alias("ord"), "x.heading")
+
+
+def titled(frame: DataFrame, numbered) -> DataFrame:
+    """``frame`` of held_captions() with headings (ord, heading), as numbered_headings() gives them for its pages."""
+
+    def heading(x: Column, ord_: Column) -> Column:
+        said = F.filter(x["contained"], lambda c: (c["other"] == ord_) & (c["kind"] == "table") & numbered(c["markdown"]))
+        return F.array_max(F.transform(said, lambda c: F.struct(c["ord"].alias("ord"), F.trim(c["markdown"]).alias("heading"))))["heading"]
+
+    each = lambda x: F.transform(x["claimed"], lambda o: F.struct(o.alias("ord"), heading(x, o).alias("heading")))
+    return frame.withColumn("headings", F.filter(let(F.struct("claimed", "contained"), each), lambda h: h["heading"].isNotNull()))
+
+
+def hidden(frame: DataFrame, least: float = LEAST_OVERLAP, lead: float = LEAD) -> DataFrame:
+    """``frame`` of held_captions(), which has images and reach, with before: places of blocks that are gone before tables claim."""
+
+    def goes_on(x: Column, b: Column) -> Column:
+        free = (b["kind"] == "table") & b["x0"].isNotNull() & ~F.array_contains(x["claimed"], b["ord"])
+        return F.when(free & (F.size(x["reach"]) > 0), let(scores(x["reach"], box_of(b)), lambda c: continues(c, least, lead)).isin(*CONTINUED)).otherwise(False)
+
+    def page(x: Column) -> Column:
+        continued = F.transform(F.filter(x["blocks"], lambda b: goes_on(x, b)), lambda b: b["ord"])
+        return hidden_before(x["contained"], x["images"], continued)
+
+    return frame.withColumn("before", let(F.struct("claimed", "contained", "blocks", "images", "reach"), page))

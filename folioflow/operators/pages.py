@@ -57,14 +57,18 @@ def rows_of(frame: DataFrame, array: Column | str, *names: str) -> DataFrame:
     return each.where(F.col("x").isNotNull()).select(*KEY, *(c if c == "n" else f"x.{c}" for c in names or ["*"]))
 
 
-def page_frame(tables: DataFrame, blocks: DataFrame, images: DataFrame | None = None, *more: str, how: str = "full_outer") -> DataFrame:
+def page_frame(tables: DataFrame, blocks: DataFrame, images: DataFrame | None = None, *more: str, how: str = "full_outer", told: tuple[str, ...] = (), reach: DataFrame | None = None) -> DataFrame:
     """doc, page, tables, blocks, images: every page that has any, each array in order.
 
     ``tables``: doc, page, k (order on the page), id and a box; ``blocks``: doc, page, ord, kind, a box that may be
     null, and columns ``more``; ``images``: see page_markdown.  Each table has offers, one for each block that it
     overlaps or whose centre it holds: few blocks are near a table, and only those are weighed.  With ``how`` left,
-    pages without tables are left out, and all rows stay where the tables are."""
-    frame = _grouped(tables, "tables", ["k", "id"], []).join(_grouped(blocks, "blocks", ["ord", "kind"], list(more)), KEY, how)
+    pages without tables are left out, and all rows stay where the tables are.  Tables keep columns ``told``;
+    ``reach``, from lineage.reached(), joins blocks before tables do, as an outer join's rows would be dealt anew."""
+    placed = _grouped(blocks, "blocks", ["ord", "kind"], list(more))
+    if reach is not None:
+        placed = placed.join(reach, KEY, "left")
+    frame = _grouped(tables, "tables", ["k", "id"], list(told)).join(placed, KEY, how)
     if images is not None:
         frame = frame.join(_grouped(images, "images", ["pos", "id"], ["block", "caption", "included", "slot", "text"]), KEY, how)
     lists = [c for c in frame.columns if c not in KEY]
@@ -112,7 +116,12 @@ def best_match(frame: DataFrame, kind: str = "table", least: float = LEAST_OVERL
 
 
 def direct_relations(frame: DataFrame) -> DataFrame:
-    """doc, page, id, ord, method, overlap, n: blocks that tables claim, in the order of claims n.
+    """doc, page, id, ord, method, overlap, n: blocks that tables claim, in the order of claims n."""
+    return rows_of(frame, claims(F.col("tables")), "id", "ord", "method", "overlap", "n")
+
+
+def claims(tables: Column) -> Column:
+    """(id, ord, method, overlap) of a page's claims in order.
 
     Each table in turn claims the free table block that it overlaps most, then all free ones whose centre
     it holds; what it took is gone for the next."""
@@ -132,7 +141,7 @@ def direct_relations(frame: DataFrame) -> DataFrame:
 
         return let(let(best(free), both), lambda now: F.struct(F.concat(acc["used"], F.transform(now, lambda x: x["ord"])).alias("used"), F.concat(acc["out"], now).alias("out")))
 
-    return rows_of(frame, F.aggregate("tables", start, step)["out"], "id", "ord", "method", "overlap", "n")
+    return F.aggregate(tables, start, step)["out"]
 
 
 def slot_of(t: Column, blocks: Column, absorbed: Column) -> Column:
@@ -154,12 +163,12 @@ def merges(frame: DataFrame, gone: DataFrame | None = None) -> DataFrame:
 
     A merge has id, k, matched, overlap, absorbed, action, source_slot and slot.  In order, a table matches the
     free table block that it overlaps most and absorbs all unprotected blocks whose centre it holds and
-    nothing took yet (``gone``: doc, page, ord of blocks taken before).  Places are then dealt anew, so that
-    tables of a page never swap."""
+    nothing took yet (``gone``: doc, page, ord of blocks taken before; or the frame has them as list ``before``).
+    Places are then dealt anew, so that tables of a page never swap."""
     if gone is not None:
         before = gone.groupBy(*KEY).agg(F.collect_set(F.col("ord").cast("int")).alias("before"))
         frame = frame.join(before, KEY, "left").withColumn("before", F.coalesce("before", none_of(INTS)))
-    else:
+    elif "before" not in frame.columns:
         frame = frame.withColumn("before", none_of(INTS))
     kind = "array<struct<id:bigint,k:int,matched:int,overlap:double,absorbed:array<int>,action:string,source_slot:double>>"
 
@@ -238,6 +247,30 @@ def contained_captions(blocks: DataFrame, normal) -> DataFrame:
     return captions.join(hosts, KEY).where(F.contains("whole", "said")).select(*KEY, "ord", "other", "kind")
 
 
+def held_captions(frame: DataFrame) -> DataFrame:
+    """``frame``, whose blocks have markdown and said (their normalised text; of captions, tables and pictures at
+    least), with claimed (places of blocks that tables claim) and contained (ord, markdown, other, kind: captions
+    whose text stands in a table's or a picture's).  The same as contained_captions() inside of one row."""
+
+    def pairs(blocks: Column) -> Column:
+        said = F.filter(blocks, lambda b: (b["kind"] == "caption") & (b["said"] != ""))
+        hosts = F.filter(blocks, lambda b: b["kind"].isin("table", "picture"))
+        pair = lambda c, h: F.struct(c["ord"].alias("ord"), c["markdown"].alias("markdown"), h["ord"].alias("other"), h["kind"].alias("kind"))
+        of = lambda c, hosts_: F.transform(F.filter(hosts_, lambda h: F.contains(h["said"], c["said"])), lambda h: pair(c, h))
+        return let(F.struct(said.alias("said"), hosts.alias("hosts")), lambda x: F.flatten(F.transform(x["said"], lambda c: of(c, x["hosts"]))))
+
+    page = lambda x: F.struct(F.transform(claims(x["tables"]), lambda c: c["ord"]).alias("claimed"), pairs(x["blocks"]).alias("contained"))
+    return frame.withColumn("held", let(F.struct("tables", "blocks"), page)).select(*frame.columns, "held.claimed", "held.contained")
+
+
+def hidden_before(contained: Column, images: Column, continued: Column) -> Column:
+    """Places of a page's blocks that are gone before tables claim, as hidden_before_tables() gives them."""
+    ignored = F.filter(images, lambda i: ~i["included"] & i["block"].isNotNull())
+    spoken = F.filter(images, lambda i: i["included"] & i["block"].isNotNull() & i["caption"].isNotNull())
+    lists = F.transform(contained, lambda c: c["ord"]), F.transform(ignored, lambda i: i["block"]), F.transform(spoken, lambda i: i["caption"]), continued
+    return F.array_distinct(F.concat(*(x.cast(INTS) for x in lists)))
+
+
 def hidden_before_tables(blocks: DataFrame, images: DataFrame, continued: DataFrame, normal) -> DataFrame:
     """doc, page, ord of blocks that are gone before tables claim: contained captions, pictures that are ignored,
     tables that continue one of an earlier page, and captions of shown images."""
@@ -247,16 +280,23 @@ def hidden_before_tables(blocks: DataFrame, images: DataFrame, continued: DataFr
     return every.distinct()
 
 
-def page_markdown(frame: DataFrame, texts: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+def page_markdown(frame: DataFrame, texts: DataFrame | None = None, headings: DataFrame | None = None) -> DataFrame:
     """doc, page, markdown of pages from with_images(), whose blocks have markdown.
 
     At one place tables come first, then images that stand for no block, then blocks.  Images: pos, id, block (the
     block they stand for, or null), caption, included, slot, text (their Markdown).  ``texts``: doc, page, id,
     markdown, last_page of tables on their first page; ``headings``: doc, page, ord, heading of numbered captions that precede the
-    table that replaces block ord."""
-    named = texts.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("bigint"), F.struct("markdown", "last_page")))).alias("texts"))
-    out = frame.join(named, KEY, "left")
-    if headings is not None:
+    table that replaces block ord.  Without them they are read from the frame: markdown and last_page of its tables,
+    and its list headings (ord, heading), if it has one."""
+    own = lambda t: F.struct(t["id"].cast("bigint").alias("id"), F.struct(t["markdown"].alias("markdown"), t["last_page"].alias("last_page")).alias("x"))
+    if texts is not None:
+        named = texts.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("bigint"), F.struct("markdown", "last_page")))).alias("texts"))
+        out = frame.join(named, KEY, "left")
+    else:
+        out = frame.withColumn("texts", F.map_from_entries(F.transform("tables", own)))
+    if headings is None and "headings" in frame.columns:
+        out = out.withColumn("headings", F.map_from_entries(F.transform("headings", lambda h: F.struct(h["ord"], h["heading"]))))
+    elif headings is not None:
         said = headings.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ord").cast("int"), "heading"))).alias("headings"))
         out = out.join(said, KEY, "left")
     else:
@@ -265,9 +305,9 @@ def page_markdown(frame: DataFrame, texts: DataFrame, headings: DataFrame | None
     def entry(at, rank, text):
         return F.struct(at.cast("double").alias("at"), rank.cast("int").alias("rank"), text.alias("text"))
 
-    def table_entry(m: Column, i: Column) -> Column:
-        own = F.try_element_at("texts", m["id"])
-        title = F.try_element_at("headings", m["matched"])
+    def table_entry(x: Column, m: Column, i: Column) -> Column:
+        own = F.try_element_at(x["texts"], m["id"])
+        title = F.try_element_at(x["headings"], m["matched"])
         marked = table_block(m["id"].cast("string"), F.col("page"), F.coalesce(own["last_page"], F.col("page")), F.trim(F.coalesce(own["markdown"], F.lit(""))), title)
         return entry(m["slot"], i, marked)
 
@@ -276,14 +316,14 @@ def page_markdown(frame: DataFrame, texts: DataFrame, headings: DataFrame | None
             images = F.filter(x["images"], lambda i: i["included"] & (i["block"] == b["ord"]))
             return F.trim(F.coalesce(F.try_element_at(images, F.lit(-1))["text"], b["markdown"], F.lit("")))
 
-        tables = F.transform(x["merges"], table_entry)
+        tables = F.transform(x["merges"], lambda m, i: table_entry(x, m, i))
         free = F.filter(x["images"], lambda i: i["block"].isNull())
         shown = F.filter(F.transform(free, lambda i, n: F.struct(i["included"].alias("yes"), entry(F.coalesce(i["slot"], F.lit(0.0)), n + 500, i["text"]).alias("e"))), lambda i: i["yes"])
         blocks = F.filter(F.transform(unless(x["blocks"], x["gone"]), lambda b: entry(b["ord"], F.lit(1000), block_text(b))), lambda e: e["text"] != "")
         return F.sort_array(F.concat(tables, F.transform(shown, lambda i: i["e"]), blocks))
 
     # one struct, worked out once for a page
-    entries = let(F.struct("merges", "images", "blocks", "gone"), every)
+    entries = let(F.struct("merges", "images", "blocks", "gone", "texts", "headings"), every)
     body = F.array_join(F.transform(entries, lambda e: e["text"]), "\n\n")
     text = F.rtrim(F.concat(F.lit("<!-- page:"), F.col("page").cast("string"), F.lit(" -->\n\n"), body), F.lit(" \n\t\r"))
     return out.select(*KEY, text.alias("markdown"))
@@ -311,6 +351,18 @@ def captions(blocks: DataFrame, gap: float = 55.0) -> DataFrame:
     return pictures.select(*KEY, "ord").join(found.select(*KEY, "ord", F.col("x.c_ord").alias("caption")), [*KEY, "ord"], "left")
 
 
+def caption_below(picture: Column, captions: Column, gap: float = 55.0) -> Column:
+    """The caption that captions() gives a picture, among those of its page."""
+    near = lambda c: (c["top"] >= picture["bottom"] - 2) & (c["top"] - picture["bottom"] <= gap) & (F.least(picture["x1"], c["x1"]) > F.greatest(picture["x0"], c["x0"]))
+    return F.array_min(F.transform(F.filter(captions, near), lambda c: F.struct((c["top"] - picture["bottom"]).alias("far"), c["ord"].alias("ord"))))["ord"]
+
+
+def image_slot(image: Column, blocks: Column) -> Column:
+    """The place that image_slots() gives an image, among all blocks of its page."""
+    above = F.array_max(F.transform(F.filter(blocks, lambda b: b["bottom"] <= image["top"] + 2), lambda b: F.struct(b["bottom"].alias("end"), (-b["ord"]).alias("o"))))
+    return F.coalesce(0.5 - above["o"], F.array_min(F.transform(blocks, lambda b: b["ord"])) - 0.5, F.lit(-0.5)).cast("double")
+
+
 def image_slots(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc, page, id, slot: half a step after the block that ends lowest above an image, whatever its width; else
     half a step before the page's first block (-0.5 on a page without blocks)."""

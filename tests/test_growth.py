@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
-from folioflow.operators import pages, review
+from folioflow.operators import lineage, pages, review
 from folioflow.plans import catalogue
+from folioflow.plans import pages as page_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,38 @@ def test_boxes_turned_inside_out_still_have_a_centre(spark):
     blocks = spark.createDataFrame([(1, 1, 1, "table", 20.0, 10.0, -5.0, 12.0), (1, 1, 2, "table", None, None, None, None), (1, 1, 3, "table", 12.0, 10.0, 14.0, 20.0)], f"doc int, page int, ord int, kind string, {box}")
     got = pages.direct_relations(pages.page_frame(tables, blocks)).collect()
     assert [(r.ord, r.method) for r in got] == [(1, "bbox_contains_center")]
+
+
+@pytest.mark.parametrize("name, most", [("page_assembly", 3), ("document_assembly", 4), ("image_absorption", 3), ("numbered_headings", 2)])
+def test_assembly_reads_and_deals_blocks_once(spark, name, most):
+    df = catalogue.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1 and exchanges(df) <= most
+
+
+def test_one_row_tells_what_joins_tell(spark):
+    """Images, hidden blocks and headings of a page's row against those by joins, boxes that are null included."""
+    tables, blocks = (df.where("doc < 3") for df in page_plans.both(spark, SF))
+    bare = (F.col("doc") * 7 + F.col("page") + F.col("ord")) % 11 == 0
+    blocks = blocks.where("page % 13 <> 5").select("doc", "page", "ord", "kind", *(F.when(~bare, F.col(c)).alias(c) for c in pages.BOX), F.when(F.col("ord") % 17 != 0, F.col("markdown")).alias("markdown"))
+    tables, blocks = tables.where("page % 13 <> 6").cache(), blocks.cache()
+    normal, numbered = page_plans.text.normalised, page_plans.text.numbered_title
+    frame = pages.page_frame(tables, blocks.withColumn("said", normal(F.col("markdown"))), None, "markdown", "said", reach=lineage.reached(tables))
+    frame = lineage.titled(pages.held_captions(frame), numbered)
+    frame = frame.withColumn("images", pages.let(F.struct("blocks", "tables"), lambda x: page_plans.seen(x["blocks"], x["tables"])))
+    row = lineage.hidden(frame).cache()
+
+    own = blocks.where("kind = 'picture'").join(pages.captions(blocks), ["doc", "page", "ord"])
+    want = {(r.doc, r.page, f"i{r.ord}", r.caption) for r in own.collect()}
+    lone = tables.where("id % 5 = 0").withColumn("id", F.concat(F.lit("s"), "id")).withColumn("top", F.col("top") + 10)
+    slots = {tuple(r) for r in pages.image_slots(lone, blocks).collect()}
+    images = pages.rows_of(row, "images").cache()
+    assert {(r.doc, r.page, r.id, r.caption) for r in images.where("block is not null").collect()} == want and want
+    assert {(r.doc, r.page, r.id, r.slot) for r in images.where("block is null").collect()} == slots and slots
+
+    found = lineage.outcomes(tables, blocks, pages.direct_relations(pages.page_frame(tables, blocks, how="left")))
+    contained = pages.contained_captions(blocks, normal)
+    gone = {tuple(r) for r in pages.hidden_before_tables(blocks, images, lineage.continued(found).where("id is not null"), normal).collect()}
+    assert {(r.doc, r.page, o) for r in row.collect() for o in r.before} == gone and gone
+    titles = {tuple(r) for r in lineage.numbered_headings(contained, blocks, found, numbered).collect()}
+    assert {tuple(r) for r in pages.rows_of(row, "headings").collect()} == titles and titles
