@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,37 +16,54 @@ from ..functions.text import bare
 from .pages import let
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def component_turns(grids: pa.Array) -> pa.Array:
+    """For each cell (r, c, value) of each grid the turn, in scan order from 0, of its component of equal neighbours
+    (left, right, up, down); null for components of one cell.  Grids of a batch are worked out at once: neighbours by
+    sorting, components by passing on smallest places and halving paths, so the work is that of sorting the cells."""
+    cells = grids.flatten()
+    n = len(cells)
+    sizes = pc.fill_null(pc.list_value_length(grids), 0).to_numpy(zero_copy_only=False)
+    grid = np.repeat(np.arange(len(grids)), sizes)
+    r, c = (cells.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    value = cells.field(2).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    scan = np.lexsort((c, r, grid))  # places in scan order
+    grid, r, c, value = grid[scan], r[scan], c[scan], value[scan]
+
+    def linked(order: np.ndarray, line: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = order[:-1], order[1:]
+        like = (grid[a] == grid[b]) & (value[a] == value[b]) & (line[a] == line[b]) & (along[b] - along[a] <= 1)
+        return a[like], b[like]
+
+    across, down = linked(np.lexsort((c, r, value, grid)), r, c), linked(np.lexsort((r, c, value, grid)), c, r)
+    a, b = (np.concatenate(x) for x in zip(across, down))
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    many = np.bincount(root, minlength=n) > 1
+    first = (root == np.arange(n)) & many  # the first cell of each component, in scan order
+    count = np.cumsum(first)
+    before = np.concatenate(([0], np.cumsum(sizes)))[:-1]  # where each grid begins
+    turn = count[root] - 1 - np.concatenate(([0], count))[before[grid]] if n else root
+    out, known = np.empty(n, np.int32), np.empty(n, bool)
+    out[scan], known[scan] = turn, many[root]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(out, pa.int32(), mask=~known))
+
+
 def repeated_cells(cells: DataFrame, tones: int = 4) -> DataFrame:
     """doc, tab, r, c, tone: cells in components of equal, non-blank, trimmed neighbours (left, right, up, down).
 
-    Components of one cell give no row; tones count components in scan order.  One grid is one row: each cell
-    starts with its own place as label and takes the smallest one among its like neighbours until none changes,
-    at most as often as there are cells."""
-    shown = cells.select("doc", "tab", "r", "c", F.trim("value").alias("value")).where("value <> ''")
-    grids = shown.groupBy("doc", "tab").agg(F.sort_array(F.collect_list(F.struct("r", "c", "value"))).alias("x"))
-    # for each cell, the places (in scan order) of its like neighbours and its own
-    near = lambda a, b: (F.abs(a["r"] - b["r"]) + F.abs(a["c"] - b["c"]) <= 1) & (a["value"] == b["value"])
-    alike = F.transform("x", lambda a: F.filter(F.transform("x", lambda b, j: F.when(near(a, b), j)), lambda j: j.isNotNull()))
-    start = F.struct(F.transform("x", lambda a, i: i).alias("label"), F.lit(True).alias("moving"))
-
-    def labels(near: Column) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            lower = F.transform(near, lambda places: F.array_min(F.transform(places, lambda j: F.get(acc["label"], j))))
-            # a label's own label may be smaller still
-            jumped = let(lower, lambda low: F.transform(low, lambda v: F.get(low, v)))
-            return F.when(acc["moving"], let(jumped, lambda now: F.struct(now.alias("label"), (now != acc["label"]).alias("moving")))).otherwise(acc)
-
-        return F.aggregate(F.sequence(F.lit(1), F.size("x")), start, step)["label"]
-
-    def marked(label: Column) -> Column:
-        many = F.array_distinct(F.filter(label, lambda v: F.size(F.filter(label, lambda w: w == v)) > 1))
-        return F.struct(label.alias("label"), many.alias("many"))
-
-    # one expression, so that no part of it is worked out again for each cell
-    grids = grids.select("doc", "tab", "x", let(let(alike, labels), marked).alias("m")).select("doc", "tab", "x", "m.label", "m.many")
-    each = grids.select("doc", "tab", F.posexplode("x").alias("i", "cell"), "label", "many")
-    tone = F.array_position("many", F.get("label", F.col("i")))
-    return each.select("doc", "tab", "cell.r", "cell.c", tone.alias("t")).where("t > 0").select("doc", "tab", "r", "c", F.pmod(F.col("t") - 1, F.lit(tones)).cast("int").alias("tone"))
+    Components of one cell give no row; tones count components in scan order.  One grid is one row."""
+    shown = cells.select("doc", "tab", "r", "c", F.trim("value").alias("value")).where("value <> '' and r is not null and c is not null")
+    grids = shown.groupBy("doc", "tab").agg(F.collect_list(F.struct("r", "c", "value")).alias("x"))
+    turns = grids.select("doc", "tab", "x", component_turns("x").alias("turns"))
+    each = turns.select("doc", "tab", F.explode_outer(F.arrays_zip(F.col("x.r").alias("r"), F.col("x.c").alias("c"), F.col("turns").alias("turn"))).alias("cell"))
+    return each.where("cell.turn is not null").select("doc", "tab", "cell.r", "cell.c", F.pmod("cell.turn", F.lit(tones)).cast("int").alias("tone"))
 
 
 def chain_closure(selected: DataFrame, fragments: DataFrame, least: float = 0.75) -> DataFrame:

@@ -1,12 +1,14 @@
 """Larger inputs: labels of any length, and plans that deal their rows once and work a page out once."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
-from folioflow.operators import lineage, pages, review
+from folioflow.operators import audit, lineage, pages, review
 from folioflow.plans import catalogue
 from folioflow.plans import pages as page_plans
 
@@ -106,3 +108,32 @@ def test_one_row_tells_what_joins_tell(spark):
     assert {(r.doc, r.page, o) for r in row.collect() for o in r.before} == gone and gone
     titles = {tuple(r) for r in lineage.numbered_headings(contained, blocks, found, numbered).collect()}
     assert {tuple(r) for r in pages.rows_of(row, "headings").collect()} == titles and titles
+
+
+def components(cells):
+    """{(r, c): turn} of one grid, by a search from each cell."""
+    out, turn = {}, 0
+    for start in sorted(cells):
+        todo, found = [start], {start}
+        while start not in out and todo:
+            r, c = todo.pop()
+            now = {p for p in ((r, c + 1), (r, c - 1), (r + 1, c), (r - 1, c)) if cells.get(p) == cells[start]} - found
+            found |= now
+            todo += now
+        if len(found) > 1:
+            out |= dict.fromkeys(found, turn)
+            turn += 1
+    return out
+
+
+def test_components_of_grids_of_any_size(spark):
+    """A winding component, gaps, negative places, and a grid of 40,000 cells, which pairs of cells would not finish."""
+    rng = random.Random(5)
+    winding = {(r, c): "#" for r in range(31) for c in range(31) if r % 2 == 0 or c == (30 if r % 4 == 1 else 0)}
+    grids = [winding, {(0, 0): "a"}, {(r, c): rng.choice("abé") for r in range(-9, 9) for c in range(-9, 9) if rng.random() < 0.8}, {(r, c): rng.choice("ab") for r in range(200) for c in range(200)}]
+    rows = [(1, t, r, c, f" {v} ") for t, g in enumerate(grids) for (r, c), v in g.items()] + [(1, 1, 5, None, "a"), (1, 1, 7, 7, " ")]
+    rng.shuffle(rows)
+    cells = spark.createDataFrame(rows, "doc int, tab int, r int, c int, value string")
+    began = time.time()
+    got = {(x.tab, x.r, x.c): x.tone for x in audit.repeated_cells(cells, tones=7).collect()}
+    assert got == {(t, r, c): turn % 7 for t, g in enumerate(grids) for (r, c), turn in components(g).items()} and time.time() - began < 60
