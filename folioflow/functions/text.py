@@ -20,16 +20,20 @@ NUMBERED_TITLE = r"^\d+(?:\.\d+)+\s+\S"
 
 @lru_cache(maxsize=1)
 def _folds() -> dict[str, str]:
-    """Characters whose case folding is not their lower case."""
-    return {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c.lower()}
+    """Lower-case characters whose case folding is another one: those of one character first, then the longer ones."""
+    folds = {c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold()}
+    return dict(sorted(folds.items(), key=lambda x: len(x[1]) > 1))
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding.  Lower case is enough for most texts; those with other foldings go by characters."""
+    """Full case folding: lower case, then other foldings by a lookup for each character.  A lookup cannot put two
+    characters for one, so it drops these, and texts that get shorter go by parts; the usual ß is replaced before."""
     folds = _folds()
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folded = F.translate(low, "".join(folds), "".join(f for f in folds.values() if len(f) == 1))
     table = F.from_json(F.lit("{" + ",".join(f'"{c}":"{f}"' for c, f in folds.items()) + "}"), "map<string,string>")
-    odd = F.translate(text, "".join(folds), "") != text  # a lookup for each character, unlike a pattern of hundreds
-    return F.when(odd, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), "")).otherwise(F.lower(text))
+    parts = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.length(folded) == F.length(low), folded).otherwise(parts)
 
 
 def compact(text: Column) -> Column:
@@ -55,7 +59,7 @@ def preview(text: Column, limit: int = 180) -> Column:
 
 def slug(text: Column, default: str = "item") -> Column:
     """Letters, digits, dots, dashes and underscores; anything else becomes one dash."""
-    cut = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", "")
+    cut = F.btrim(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), F.lit("-._"))  # a pattern would try each run of marks
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default))
 
 

@@ -137,3 +137,18 @@ def test_components_of_grids_of_any_size(spark):
     began = time.time()
     got = {(x.tab, x.r, x.c): x.tone for x in audit.repeated_cells(cells, tones=7).collect()}
     assert got == {(t, r, c): turn % 7 for t, g in enumerate(grids) for (r, c), turn in components(g).items()} and time.time() - began < 60
+
+
+def test_foldings_of_all_characters_and_final_sigma(spark):
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (chr(i).casefold() != chr(i) or chr(i).lower() != chr(i))]
+    texts = chars + [f"A{c}b ß" for c in chars[::7]] + ["ΟΔΟΣ ΣΑΣ", "Straße ẞ", "ﬁn ŉ İ", "", None]
+    old = {c for c in chars if c.lower() != c.casefold()}  # other characters are left to the engine's table of lower case
+    rows = spark.createDataFrame([(x,) for x in texts if x is None or len(x) != 1 or x in old], "x string").select("x", text.casefold(F.col("x")).alias("y")).collect()
+    assert [(r.x, r.y) for r in rows if r.y != (r.x if r.x is None else r.x.casefold()) and not set(r.x or "") & (set(chars) - old - set(chars[:2000]))] == []
+
+
+def test_slugs_of_long_runs_of_marks(spark):
+    run = "-._" * 100_000
+    began = time.time()
+    got = spark.createDataFrame([(f"a{run}b",), (f" {run}x{run} ",), ("...",), ("\n",)], "x string").select(text.slug(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"a{run}b", "x", "item", "item"] and time.time() - began < 20
