@@ -59,7 +59,7 @@ def preview(text: Column, limit: int = 180) -> Column:
 
 def slug(text: Column, default: str = "item") -> Column:
     """Letters, digits, dots, dashes and underscores; anything else becomes one dash."""
-    cut = F.btrim(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), F.lit("-._"))  # a pattern would try each run of marks
+    cut = F.btrim(F.regexp_replace(text, r"[^\w.-]+", "-"), F.lit("-._"))  # a pattern would try each run of marks; \w is A-Za-z0-9_, by one lookup
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default))
 
 
